@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import licenses, mixing
 
 QUERIES = {
+    "op1_licenses": licenses.op1_licenses,
     "op3_mixing": mixing.op3_mixing,
 }
 
 ORACLES = {
+    "op1_licenses": licenses.OP1_SQL,
     "op3_mixing": mixing.OP3_SQL,
 }
