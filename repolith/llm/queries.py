@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing
+from . import licenses, mixing, packing, token_files
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
+    "op2_token_files": token_files.op2_token_files,
     "op3_mixing": mixing.op3_mixing,
+    "op4_packing": packing.op4_packing,
 }
 
 ORACLES = {
