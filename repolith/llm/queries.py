@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, packing, token_files, topk
+from . import embedding_dups, licenses, mixing, packing, token_files, topk
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
     "op2_token_files": token_files.op2_token_files,
     "op3_mixing": mixing.op3_mixing,
     "op4_packing": packing.op4_packing,
+    "op6_embedding_dups": embedding_dups.op6_embedding_dups,
     "op7_topk": topk.op7_topk,
 }
 
 ORACLES = {
     "op1_licenses": licenses.OP1_SQL,
     "op3_mixing": mixing.OP3_SQL,
+    "op6_embedding_dups": embedding_dups.OP6_SQL,
     "op7_topk": topk.OP7_SQL,
 }
