@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dups, licenses, mixing, packing, token_files, topk
+from . import embedding_dups, jaccard, licenses, mixing, packing, token_files, topk
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op6_embedding_dups": embedding_dups.op6_embedding_dups,
     "op7_topk": topk.op7_topk,
+    "op8_jaccard_join": jaccard.op8_jaccard_join,
 }
 
 ORACLES = {
@@ -18,4 +19,5 @@ ORACLES = {
     "op3_mixing": mixing.OP3_SQL,
     "op6_embedding_dups": embedding_dups.OP6_SQL,
     "op7_topk": topk.OP7_SQL,
+    "op8_jaccard_join": jaccard.OP8_SQL,
 }
