@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dups, jaccard, licenses, mixing, packing, token_files, topk
+from . import embedding_dups, jaccard, licenses, mixing, packing, substrings, token_files, topk
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_embedding_dups": embedding_dups.op6_embedding_dups,
     "op7_topk": topk.op7_topk,
     "op8_jaccard_join": jaccard.op8_jaccard_join,
+    "op9_substrings": substrings.op9_substrings,
 }
 
 ORACLES = {
@@ -20,4 +21,5 @@ ORACLES = {
     "op6_embedding_dups": embedding_dups.OP6_SQL,
     "op7_topk": topk.OP7_SQL,
     "op8_jaccard_join": jaccard.OP8_SQL,
+    "op9_substrings": substrings.OP9_SQL,
 }
