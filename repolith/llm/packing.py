@@ -113,8 +113,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, id_
         encoder = tokens.encoder(vocabulary)
         for batch in batches:
             rows = []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(encoder.encode(text), np.uint32(end_id))
+            for name, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
+                ids = np.append(ids, np.uint32(end_id))
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     rows.append((name, piece, start, len(part), tokens.checksum(part)))

@@ -42,9 +42,9 @@ def write_token_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0
             )
 
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for name, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
                 names.append(name)
-                lists.append(np.append(encoder.encode(text), np.uint32(end_id)))
+                lists.append(np.append(ids, np.uint32(end_id)))
                 held += len(lists[-1])
                 if held >= shard_ids:
                     yield shard()

@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import os
-import re
+from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 
-#: A text with white space other than these is encoded in one call.
-_SEGMENT = re.compile(r"[ \n]+[^ \n]+|[^ \n]+|[ \n]+")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+from .words import flat_texts, mixed, spans
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, 0x0A]] = True
+_OTHER = np.zeros(256, bool)
+_OTHER[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F]] = True
+#: White space beyond ASCII, in UTF-8.
+_WIDE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
 
 def vocabulary(name: str) -> str:
@@ -19,15 +25,51 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Places:
+    """A growing open-addressing table from 64-bit hashes to numbers; lookups and inserts are vectorised."""
+
+    def __init__(self, bits: int = 16) -> None:
+        self.bits, self.n = bits, 0
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.empty(1 << bits, np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), -1, np.int32)
+        at = np.arange(len(h))
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(at):
+            held = self.keys[slot]
+            hit = held == h[at]
+            out[at[hit]] = self.values[slot[hit]]
+            go = ~hit & (held != 0)
+            at, slot = at[go], (slot[go] + 1) & (len(self.keys) - 1)
+        return out
+
+    def add(self, h: np.ndarray, values: np.ndarray) -> None:
+        while 2 * (self.n + len(h)) > len(self.keys):
+            own = np.flatnonzero(self.keys)
+            h, values = np.concatenate([self.keys[own], h]), np.concatenate([self.values[own], values])
+            self.__init__(self.bits + 1)
+        self.n += len(h)
+        at = np.arange(len(h))
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(at):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[at[free]]
+            done = self.keys[slot] == h[at]
+            self.values[slot[done]] = values[at[done]]
+            at, slot = at[~done], (slot[~done] + 1) & (len(self.keys) - 1)
+
+
 class SegmentEncoder:
-    """The ids that ``Tokenizer.encode`` gives for a text, from a cache of its segments.
+    """The ids that ``Tokenizer.encode`` gives for texts, from a cache of their segments.
 
     A segment is a run of blanks or line ends with the word after it. Pre-tokenizers of the
     vocabularies used here always cut before white space that follows another character, so the ids
-    of a text are those of its segments in turn. At most ``most`` segments are kept.
+    of a text are those of its segments in turn. Segments are known by 64-bit hashes, at most
+    ``most`` of them. A text with other white space is encoded in one call.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 1_500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -36,45 +78,83 @@ class SegmentEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.places: dict[str, int] = {}
+        self.places = _Places()
         self.flat = np.empty(1 << 16, np.uint32)
         self.starts = np.empty(1 << 16, np.int64)
-        self.lengths = np.empty(1 << 16, np.int64)
-        self.used = 0
+        self.lengths = np.empty(1 << 16, np.int32)
+        self.used = self.known = 0
 
-    def _learn(self, segments: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)
-        lists = [x.ids for x in found]
+    def _learn(self, h: np.ndarray, segments: list[str]) -> None:
+        lists = [x.ids for x in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.fromiter((i for x in lists for i in x), np.uint32, int(lengths.sum()))
-        at, n = len(self.places), len(segments)
+        at, n = self.known, len(segments)
         while len(self.flat) < self.used + len(flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while len(self.starts) < at + n:
-            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
+            self.starts, self.lengths = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.lengths))
         self.flat[self.used : self.used + len(flat)] = flat
         self.starts[at : at + n] = self.used + np.cumsum(lengths) - lengths
         self.lengths[at : at + n] = lengths
-        self.used += len(flat)
-        self.places.update(zip(segments, range(at, at + n)))
-
-    def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.uint32)
-        if _OTHER_SPACE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        segments = _SEGMENT.findall(text)
-        new = set(segments).difference(self.places)
-        if new:
-            if len(self.places) + len(new) > self.most:
+        self.places.add(h, np.arange(at, at + n, dtype=np.int32))
+        self.used, self.known = self.used + len(flat), at + n
+
+    def encode(self, texts: pa.Array, most: int = 1 << 20) -> Iterator[np.ndarray]:
+        """The ids of each text in turn; null texts have none."""
+        data, offsets = flat_texts(texts)
+        at = 0
+        while at < len(offsets) - 1:
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+            yield from self._stretch(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
+            at = end
+
+    def _stretch(self, own: np.ndarray, cuts: np.ndarray) -> Iterator[np.ndarray]:
+        odd = np.flatnonzero(_OTHER[own]).tolist()
+        raw = own.tobytes()
+        for space in _WIDE:
+            place = raw.find(space)
+            while place >= 0:
+                odd.append(place)
+                place = raw.find(space, place + 1)
+        whole = set((np.searchsorted(cuts, odd, "right") - 1).tolist())
+        blank = _BLANK[own]
+        first = np.zeros(len(own) + 1, bool)
+        first[cuts[:-1]] = True
+        starts_here = first[: len(own)]
+        starts_here[1:] |= blank[1:] & ~blank[:-1]
+        starts = np.flatnonzero(starts_here)
+        ends = np.append(starts[1:], len(own)) if len(starts) else starts
+        h = spans(own, starts, ends)
+        h[h == 0] = 1
+        if len(whole):
+            of = np.searchsorted(cuts, starts, "right") - 1
+            keep = ~np.isin(of, list(whole))
+            starts, ends, h = starts[keep], ends[keep], h[keep]
+        index = self.places.find(h)
+        for again in (False, True):
+            missing = np.flatnonzero(index < 0)
+            if not len(missing):
+                break
+            new, place = np.unique(h[missing], return_index=True)
+            if self.known + len(new) > self.most and not again:
                 self._clear()
-                new = set(segments)
-            self._learn(sorted(new))
-        index = np.fromiter(map(self.places.__getitem__, segments), np.int64, len(segments))
-        lengths = self.lengths[index]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1])
-        return self.flat[np.arange(total) + np.repeat(self.starts[index] - ends + lengths, lengths)]
+                index[:] = -1
+                continue
+            place = missing[place]
+            self._learn(new, [raw[a:b].decode() for a, b in zip(starts[place].tolist(), ends[place].tolist())])
+            index[missing] = self.places.find(h[missing])
+            break
+        lengths = self.lengths[index].astype(np.int64)
+        stops = np.cumsum(lengths)
+        total = int(stops[-1]) if len(stops) else 0
+        ids = self.flat[np.arange(total) + np.repeat(self.starts[index] - stops + lengths, lengths)]
+        text_cuts = np.append(0, stops)[np.searchsorted(starts, cuts)].tolist()
+        for i, (low, high) in enumerate(zip(text_cuts, text_cuts[1:])):
+            if i in whole:
+                text = raw[cuts[i] : cuts[i + 1]].decode()
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            else:
+                yield ids[low:high]
 
 
 def checksum(ids: np.ndarray) -> int:

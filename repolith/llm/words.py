@@ -43,6 +43,23 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     return mixed((total[k:] - total[:-k]) * down[: len(h) - k + 1])
 
 
+def flat_texts(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of texts; null texts are empty."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.string())
+    texts = texts.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint8), offsets
+
+
+def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A hash of the bytes of every span."""
+    up, down = _power(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((_LOWER if lower else _RANDOM)[data] * up[: len(data)], out=total[1:])
+    return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def hashed(texts: pa.Array, lower: bool, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Word hashes of stretches of texts of about ``most`` bytes (a longer text is a stretch of its own).
 
@@ -50,14 +67,9 @@ def hashed(texts: pa.Array, lower: bool, most: int = 1 << 20) -> Iterator[tuple[
     (first text, words of each text, hashes of all words in turn, bytes, first byte and end of each word).
     Null texts have no words.
     """
-    if isinstance(texts, pa.ChunkedArray):
-        texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], texts.type)
-    texts = texts.cast(pa.large_string()).fill_null("")
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-    values = _LOWER if lower else _RANDOM
+    data, offsets = flat_texts(texts)
     at = 0
-    while at < len(texts):
+    while at < len(offsets) - 1:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         low, high = int(offsets[at]), int(offsets[end])
         own, cuts = data[low:high], offsets[at : end + 1] - low
@@ -72,9 +84,5 @@ def hashed(texts: pa.Array, lower: bool, most: int = 1 << 20) -> Iterator[tuple[
         after[:-1] = inside[1:]
         after &= ~first[1:]
         starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-        up, down = _power(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(values[own] * up[:n], out=total[1:])
-        h = mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-        yield at, np.diff(np.searchsorted(starts, cuts)), h, own, starts, ends
+        yield at, np.diff(np.searchsorted(starts, cuts)), spans(own, starts, ends, lower), own, starts, ends
         at = end
