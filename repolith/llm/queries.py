@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dups, jaccard, licenses, mixing, packing, substrings, token_files, topk
+from . import embedding_dups, jaccard, licenses, mixing, packing, substrings, token_files, topk, toxicity
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_topk": topk.op7_topk,
     "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_substrings": substrings.op9_substrings,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES = {

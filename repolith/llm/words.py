@@ -33,6 +33,17 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def byte_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int, outside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, hash) of every run of k bytes of a word and the mark before it; A-Z count as a-z."""
+    values = np.full(len(data) + 1, np.uint64(0x1234567), np.uint64)
+    values[1:] = np.where(outside[data], values[0], _LOWER[data])
+    counts = np.maximum(0, ends - starts + 2 - k)
+    stops = np.cumsum(counts)
+    total = int(stops[-1]) if len(stops) else 0
+    places = np.arange(total) + np.repeat(starts - stops + counts, counts)
+    return np.repeat(np.arange(len(starts)), counts), windows(values, k)[places] if total else np.empty(0, np.uint64)
+
+
 def windows(h: np.ndarray, k: int) -> np.ndarray:
     """A hash of every run of k values, in order: h of length n gives n - k + 1."""
     if len(h) < k:
@@ -60,10 +71,10 @@ def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool =
     return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def hashed(texts: pa.Array, lower: bool, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def hashed(texts: pa.Array, lower: bool, most: int = 1 << 20, outside: np.ndarray = _SPACE) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Word hashes of stretches of texts of about ``most`` bytes (a longer text is a stretch of its own).
 
-    Words are runs of bytes other than ASCII white space; with ``lower`` A-Z count as a-z. Yields
+    Words are runs of bytes other than those ``outside`` (ASCII white space); with ``lower`` A-Z count as a-z. Yields
     (first text, words of each text, hashes of all words in turn, bytes, first byte and end of each word).
     Null texts have no words.
     """
@@ -74,7 +85,7 @@ def hashed(texts: pa.Array, lower: bool, most: int = 1 << 20) -> Iterator[tuple[
         low, high = int(offsets[at]), int(offsets[end])
         own, cuts = data[low:high], offsets[at : end + 1] - low
         n = len(own)
-        inside = ~_SPACE[own]
+        inside = ~outside[own]
         first = np.zeros(n + 1, bool)
         first[cuts] = True
         before = np.zeros(n, bool)
