@@ -14,6 +14,8 @@ from repolith.session import ship
 
 _RUN = uuid.uuid4().hex
 _cleaned: set[str] = set()
+#: Tables that saved() wrote and drop() has not removed.
+written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +44,7 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     root = shared_dir(spark)
     path = f"{root}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    written.append(path)
     if root not in _cleaned:
         _cleaned.add(root)
         atexit.register(_remove, spark, root)
@@ -57,6 +60,14 @@ def _remove(spark: SparkSession, root: str) -> None:
         pass
 
 
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables of saved() that nothing reads any more."""
+    for path in paths:
+        _remove(spark, path)
+        if path in written:
+            written.remove(path)
+
+
 def partitions(spark: SparkSession) -> int:
     """Partitions of a shuffle: the session's setting, which the operator of the cluster sizes to the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

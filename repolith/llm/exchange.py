@@ -21,8 +21,8 @@ from .common import groups, partitions, saved
 ASKED = "block long, bucket int, payload binary"
 
 
-def make_blocks(docs: DataFrame, id_col: str, text_col: str, size: int = 4 << 20) -> DataFrame:
-    """(block, payload): documents in blocks of about ``size`` bytes of text, written once, so that a block never changes."""
+def make_blocks(docs: DataFrame, id_col: str, text_col: str, size: int = 4 << 20, more: tuple[str, ...] = ()) -> DataFrame:
+    """(block, payload): documents in blocks of about ``size`` bytes of text, written once, so that a block never changes; ``more`` columns go with them."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n, held, held_size = TaskContext.get().partitionId(), 0, [], 0
@@ -50,13 +50,13 @@ def make_blocks(docs: DataFrame, id_col: str, text_col: str, size: int = 4 << 20
         if held:
             yield block()
 
-    return saved(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(gather, "block long, payload binary"), "blocks")
+    return saved(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"more_{i}") for i, c in enumerate(more))).mapInArrow(gather, "block long, payload binary"), "blocks")
 
 
-def open_block(payload: bytes) -> tuple[pa.Array, pa.Array]:
-    """Ids and texts of a block."""
+def open_block(payload: bytes) -> tuple[pa.Array, ...]:
+    """Ids and texts of a block, then its other columns."""
     rows = pa.ipc.open_stream(payload).read_all().combine_chunks()
-    return tuple(pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in (rows.column(0), rows.column(1)))
+    return tuple(pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in rows.columns)
 
 
 def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ class _Tokens:
     """Tokens of a block: hashes, the text and the fold of each, and the token before it."""
 
     def __init__(self, payload: bytes, folds: int, held_out: int) -> None:
-        self.ids, texts = open_block(payload)
+        self.ids, texts, *_ = open_block(payload)
         counts, words = [np.empty(0, np.int64)], []
         for _, n, h, *_ in hashed(texts, lower=True):
             counts.append(n)

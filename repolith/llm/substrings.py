@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,7 +106,7 @@ def _repeats(width: int):
     return answer
 
 
-def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20, more: tuple[str, ...] = ()) -> DataFrame:
     """Removes every word that a window of ``window`` words covers whose words also start anywhere else.
 
     Words are runs of characters other than ASCII white space, as they are. Only windows of
@@ -116,7 +117,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     passage that fills the corpus is one entry a block.
 
     One row per input row: id, n_words, n_removed, kept_sha256 and kept (its text: the words that
-    stay, joined by blanks). Null texts have no words; texts of fewer than ``window`` words lose
+    stay, joined by blanks, or as it is if all stay), then the columns ``more``. Null texts have no words; texts of fewer than ``window`` words lose
     none; repeated rows remove each other's words; an empty table gives no rows; other columns are
     ignored.
     """
@@ -124,7 +125,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
         raise ValueError(f"windows have {PERIOD} words at least")
     spark = docs.sparkSession
     buckets = partitions(spark)
-    blocks = make_blocks(docs, id_col, text_col, block_bytes)
+    blocks = make_blocks(docs, id_col, text_col, block_bytes, more)
 
     def anchors_of(texts: pa.Array) -> np.ndarray:
         found = [_anchors(t, window)[1] for t in _texts(texts)]
@@ -156,7 +157,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids, texts = open_block(row["payload"])
+                ids, texts, *others = open_block(row["payload"])
                 parts, starts, keys = window_keys(texts, answers_of(row))
                 again = _told(keys, buckets, {x["bucket"]: x["answer"] for x in row["more"] or ()})
                 at, lengths, removed, kept = 0, [], [], []
@@ -173,18 +174,22 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
                     lengths.append(n)
                     removed.append(n - len(stays))
                     kept.append(b" ".join(words))
+                sums = pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())
+                texts = pc.if_else(pc.equal(pa.array(removed, pa.int64()), 0), texts, pa.array(kept, pa.binary()).cast(pa.string()))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(lengths, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array(kept, pa.binary()).cast(pa.string())],
-                    names=["id", "n_words", "n_removed", "kept_sha256", "kept"],
+                    [ids, pa.array(lengths, pa.int64()), pa.array(removed, pa.int64()), sums, texts, *others],
+                    names=["id", "n_words", "n_removed", "kept_sha256", "kept", *(f"more_{i}" for i in range(len(more)))],
                 )
 
     repeated = answered(blocks.mapInArrow(ask_anchors, ASKED), _repeats(1))
+    kinds = "".join(f", more_{i} {docs.select(c).dtypes[0][1]}" for i, c in enumerate(more))
+    schema = f"id long, n_words long, n_removed long, kept_sha256 string, kept string{kinds}"
     repeated = saved(repeated, "anchors")
     once = with_answers(blocks, repeated)
     again = answered(once.mapInArrow(ask_windows, ASKED), _repeats(2))
     lists = again.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", F.col("payload").alias("answer")))).alias("more"))
-    out = with_answers(blocks, repeated).join(lists, "block", "left").mapInArrow(cut, "id long, n_words long, n_removed long, kept_sha256 string, kept string")
-    return out.withColumnRenamed("id", id_col)
+    out = with_answers(blocks, repeated).join(lists, "block", "left").mapInArrow(cut, schema)
+    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", "kept", *(F.col(f"more_{i}").alias(c) for i, c in enumerate(more)))
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
