@@ -93,7 +93,7 @@ def line_range(text: Column, begin: Column, end: Column, clamp: bool = True) ->
 
 def section(block: Column | str, title: str) -> Column:
     """Text of a level-4 Markdown section; null where there is none."""
-    return F.nullif(F.trim(F.regexp_extract(_c(block), rf"(?s)#### {title}\s*\n(.*?)(?=####|\z)", 1)), F.lit(""))
+    return F.nullif(F.trim(F.regexp_extract(_c(block), rf"(?s)#### {title}\s*\n(.*?)(?=####|\z)", 1), F.lit(" \n\r\t")), F.lit(""))
 
 
 def bullets(text: Column | str) -> Column:

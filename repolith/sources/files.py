@@ -65,7 +65,7 @@ def repository_modules(docs: DataFrame, text: str = "text", keep: tuple[str, ...
     """Modules of a repository document: blocks with a Description section, which is what follows its header."""
     rows = docs.select(*keep, F.posexplode(F.split(F.concat(F.lit("\n"), F.col(text)), "\n### ", -1)).alias("pos", "x")).where("pos > 0")
     parts = F.split("x", "\n#### Description", 2)
-    return rows.where(F.size(parts) == 2).select(*keep, "pos", F.trim(parts[0]).alias("name"), F.trim(parts[1]).alias("description"))
+    return rows.where(F.size(parts) == 2).select(*keep, "pos", F.trim(parts[0], F.lit(" \n\r\t")).alias("name"), F.trim(parts[1], F.lit(" \n\r\t")).alias("description"))
 
 
 def qa_pairs(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
