@@ -14,6 +14,9 @@ from .common import partitions, saved, table
 from .vectors import matrix, usable
 
 
+MOST = (1 << 63) - 1
+
+
 class KDTree:
     """Median splits along the widest side; every node keeps the tight box of its vectors.
 
@@ -44,11 +47,11 @@ class KDTree:
         self.ids, self.vectors = ids[order], vectors[order]
         self.low, self.high = (np.array(x) for x in zip(*boxes))
 
-    def search(self, queries: np.ndarray, own_ids: np.ndarray, floors: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+    def search(self, queries: np.ndarray, own_ids: np.ndarray, floors: list[float], k: int) -> list[list[tuple[int, int]]]:
         """For each query up to k (score, id), best first, ties to smaller id; what scores below its floor may be left out."""
         bounds = np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
         out = []
-        for q, own, floor, bound in zip(queries, own_ids.tolist(), floors.tolist(), bounds):
+        for q, own, floor, bound in zip(queries, own_ids.tolist(), floors, bounds):
             heap, best = [(-bound[0], 0)], []
             kth = floor
             while heap:
@@ -114,14 +117,14 @@ def _search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 width = tree.vectors.shape[1]
                 asked = _exact(asked[:, :width] if asked.shape[1] >= width else np.pad(asked, ((0, 0), (0, width - asked.shape[1]))))
                 names = part["id"].to_numpy()
-                floors = part["floor"].to_numpy(zero_copy_only=False)
-                found = tree.search(asked, names, np.where(np.isnan(floors.astype(float)), -np.inf, floors.astype(float)), k)
-                flat = [(q, name, score) for q, best in zip(names.tolist(), found) for score, name in best]
+                floors = [-np.inf if x is None else x for x in part["floor"].to_pylist()]
+                found = tree.search(asked, names, floors, k)
+                flat = [(q, name, min(max(score, -MOST - 1), MOST)) for q, best in zip(names.tolist(), found) for score, name in best]
                 if flat:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flat)], names=["query_id", "vec_id", "score"])
 
-    none = F.lit(None).cast("double")
-    both = vectors.select("shard", F.lit(0).alias("kind"), "id", "v", none.alias("floor")).unionByName(queries.select("shard", F.lit(1).alias("kind"), "id", "v", F.col("floor").cast("double")))
+    none = F.lit(None).cast("long")
+    both = vectors.select("shard", F.lit(0).alias("kind"), "id", "v", none.alias("floor")).unionByName(queries.select("shard", F.lit(1).alias("kind"), "id", "v", F.col("floor").cast("long")))
     return both.repartition(partitions(both.sparkSession), "shard").sortWithinPartitions("shard", "kind", "id").mapInArrow(run, "query_id long, vec_id long, score long")
 
 
@@ -135,7 +138,7 @@ def top_k(vectors: DataFrame, chosen: Column, k: int = 10, shard_rows: int = 409
     Columns query_id, rank (from 1), vec_id, score; ties to the smaller id. Null vectors and those
     with null or non-finite components take no part, nor do rows without an id; vectors of unequal
     lengths are compared as if the shorter had zeros; a query leaves out rows of its own id; rows
-    with repeated ids are candidates each; an empty table gives no rows; other columns are ignored.
+    with repeated ids are candidates each; scores beyond 64 bits are given as the nearest long; an empty table gives no rows; other columns are ignored.
     """
     rows = vectors.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.coalesce(chosen, F.lit(False)).alias("asks"))
     rows = saved(rows, "topk-rows")
