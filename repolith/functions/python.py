@@ -152,3 +152,62 @@ def workspace_members(toml: pd.Series) -> pd.Series:
         return [{"member": m, "kind": kind} for kind in ("members", "exclude", "default-members") for m in workspace.get(kind, [])]
 
     return toml.map(read)
+
+
+class _Items(HTMLParser):
+    """Items of a rustdoc page: h4 with code is a function, h3 with code a type; the next docblock is theirs."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.items: list[dict] = []
+        self.at: list[str] = []
+        self.text: list[str] = []
+        self.doc_depth = 0
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in ("h3", "h4"):
+            self.at, self.text = [tag], []
+        elif tag == "code" and self.at:
+            self.at.append(tag)
+        if self.doc_depth:
+            self.doc_depth += tag == "div"
+        elif tag == "div" and "docblock" in (dict(attrs).get("class") or "").split():
+            self.doc_depth, self.text = 1, []
+
+    def handle_endtag(self, tag: str) -> None:
+        if self.doc_depth and tag == "div":
+            self.doc_depth -= 1
+            if not self.doc_depth and self.items and self.items[-1]["doc"] is None:
+                self.items[-1]["doc"] = " ".join("".join(self.text).split())
+        elif self.at and tag == self.at[0]:
+            text = " ".join("".join(self.text).split())
+            if len(self.at) > 1 and text:
+                is_fn = self.at[0] == "h4" and "fn " in text
+                name = re.search(r"fn (\w+)", text) if is_fn else re.search(r"(\w+)\W*$", text)
+                if is_fn or self.at[0] == "h3":
+                    self.items.append({"kind": "function" if is_fn else "type", "name": name[1] if name else None, "signature": text, "doc": None})
+            self.at = []
+
+    def handle_data(self, data: str) -> None:
+        if self.at or self.doc_depth:
+            self.text.append(data)
+
+
+def rustdoc(html: str | None) -> list[dict]:
+    parser = _Items()
+    parser.feed(html or "")
+    parser.close()
+    return parser.items
+
+
+_ITEM = T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "name", "signature", "doc")])
+
+
+@F.pandas_udf(T.ArrayType(_ITEM))
+def rustdoc_items(html: pd.Series) -> pd.Series:
+    return html.map(rustdoc)
+
+
+def is_doc_page(name: str) -> bool:
+    """Pages that hold items: not the index, search or help page."""
+    return name.endswith(".html") and not re.search(r"(^|/)(index|search|help)\.", name)

@@ -183,3 +183,87 @@ def cosine(a: Column, b: Column) -> Column:
 
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
+
+
+def class_code(name: Column | str, fields: Column, methods: Column, all_levels: bool = False) -> Column:
+    """A class from its members by access: public, protected, private. fields(name, type, access), methods(signature, access).
+
+    With ``all_levels`` the result is empty unless every level has a member.
+    """
+
+    def level(which: str) -> Column:
+        own = F.concat(
+            F.transform(F.filter(fields, lambda f: f["access"] == which), lambda f: F.concat(F.lit("  "), f["type"], F.lit(" "), f["name"], F.lit(";"))),
+            F.transform(F.filter(methods, lambda m: m["access"] == which), lambda m: F.concat(F.lit("  "), m["signature"], F.lit(";"))),
+        )
+        return F.when(F.size(own) > 0, F.concat(F.lit(f"{which}:\n"), F.array_join(own, "\n"), F.lit("\n")))
+
+    parts = [level(x) for x in ("public", "protected", "private")]
+    code = F.concat(F.lit("class "), _c(name), F.lit(" {\n"), F.concat_ws("", *parts), F.lit("};"))
+    if not all_levels:
+        return code
+    every = parts[0].isNotNull() & parts[1].isNotNull() & parts[2].isNotNull()
+    return F.when(every, code).otherwise("")
+
+
+def rust_code(name: Column | str, fields: Column, methods: Column) -> Column:
+    """A struct and its impl. fields(name, type), methods(signature)."""
+    body = F.array_join(F.transform(fields, lambda f: F.concat(F.lit("    "), f["name"], F.lit(": "), f["type"], F.lit(","))), "\n")
+    calls = F.array_join(F.transform(methods, lambda m: F.concat(F.lit("    "), m["signature"], F.lit(";"))), "\n")
+    impl = F.when(F.size(methods) > 0, F.concat(F.lit("\n\nimpl "), _c(name), F.lit(" {\n"), calls, F.lit("\n}"))).otherwise("")
+    return F.concat(F.lit("struct "), _c(name), F.lit(" {\n"), body, F.lit("\n}"), impl)
+
+
+def item_id(module: Column | str, name: Column | str) -> Column:
+    return F.concat_ws("::", _c(module), _c(name))
+
+
+def crate_of(symbol: Column | str) -> Column:
+    """The first segment of a path; the symbol itself where it has none."""
+    return F.substring_index(_c(symbol), "::", 1)
+
+
+def is_placeholder_file(filename: Column | str) -> Column:
+    """A name in angle brackets, as front ends give to what has no file."""
+    return _c(filename).rlike("[<>]")
+
+
+def doc_examples(text: Column | str) -> Column:
+    """Fenced code of a doc comment."""
+    return F.transform(F.regexp_extract_all(_c(text), F.lit(r"(?s)```[a-zA-Z]*\n(.*?)```"), 1), lambda x: F.rtrim(x, F.lit("\n ")))
+
+
+def doc_section(text: Column | str, title: str) -> Column:
+    """Text of a # section of a doc comment; null where there is none."""
+    return F.nullif(F.trim(F.regexp_extract(_c(text), rf"(?s)(?:^|\n)#+ {title}\s*\n(.*?)(?=\n#|\z)", 1), F.lit(" \n\r\t")), F.lit(""))
+
+
+def doc_fields(text: Column | str, title: str) -> Column:
+    """Items `name`: text of a list in a section, as a map."""
+    lines = F.filter(F.split(F.coalesce(doc_section(text, title), F.lit("")), "\n"), lambda x: x.rlike(r"^\s*[*-] `"))
+    entries = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, "`([^`]*)`", 1).alias("key"), F.trim(F.regexp_extract(x, "`[^`]*`[: -]*(.*)$", 1)).alias("value")))
+    return F.map_from_entries(F.array_distinct(entries))
+
+
+def source_location(href: Column | str) -> Column:
+    """file and line of a link to a source page."""
+    h = _c(href)
+    return F.struct(F.nullif(F.regexp_extract(h, r"/src/(.*)\.html", 1), F.lit("")).alias("file"), F.regexp_extract(h, r"#(\d+)", 1).try_cast("int").alias("line"))
+
+
+def derives(code: Column | str) -> Column:
+    """Names in derive attributes."""
+    lists = F.regexp_extract_all(_c(code), F.lit(r"#\[derive\(([^)]*)\)\]"), 1)
+    return F.array_distinct(F.transform(F.flatten(F.transform(lists, lambda x: F.split(x, ","))), lambda x: F.trim(x)))
+
+
+def labelled(**parts: Column) -> Column:
+    """Lines 'Title: value' of the parts that are there, for prompts."""
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{k.replace('_', ' ').capitalize()}: "), v.cast("string")) for k, v in parts.items()])
+
+
+def error_style(code: Column | str) -> Column:
+    """How a body deals with errors."""
+    c = _c(code)
+    has = lambda x: F.contains(c, F.lit(x))
+    return F.when(has("?;") | has("?)"), "propagate").when(has(".unwrap()") | has(".expect("), "panic").when(has("match ") & has("Err("), "match").otherwise("none")

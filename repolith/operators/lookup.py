@@ -89,3 +89,23 @@ def compare_apis(old: DataFrame, new: DataFrame) -> DataFrame:
     counts = sides.agg(n(3).alias("shared"), n(2).alias("added"), n(1).alias("removed"), n(1, 3).alias("n_old"), n(2, 3).alias("n_new"))
     overlap = F.when(F.least("n_old", "n_new") > 0, F.col("shared") / F.least("n_old", "n_new")).otherwise(0.0)
     return counts.withColumn("overlap", overlap).withColumn("same_software", F.col("overlap") > 0.5)
+
+
+def crates_of(symbols: DataFrame, crates: DataFrame, main: str) -> DataFrame:
+    """(symbol, crate): the known crate that the symbol's path begins with, by alias or name, else ``main``. crates(name, crate)."""
+    from repolith.functions.scalar import crate_of
+
+    rows = symbols.select(F.col(symbols.columns[0]).alias("symbol")).withColumn("_head", crate_of("symbol"))
+    known = crates.select(F.col("name").alias("_head"), "crate").dropDuplicates(["_head"])
+    return rows.join(known, "_head", "left").select("symbol", F.coalesce("crate", F.lit(main)).alias("crate"))
+
+
+def merge_callees(functions: DataFrame, calls: DataFrame) -> DataFrame:
+    """functions(signature, callees) with the callees of calls(caller, callee) put in, each once, in order."""
+    more = calls.groupBy(F.col("caller").alias("signature")).agg(F.array_sort(F.collect_set("callee")).alias("_more"))
+    return functions.join(more, "signature", "left").withColumn("callees", F.array_union(F.coalesce("callees", F.array().cast("array<string>")), F.coalesce("_more", F.array().cast("array<string>")))).drop("_more")
+
+
+def member_docs(members: DataFrame) -> DataFrame:
+    """One row a workspace: a map from member to its version and features. members(workspace, name, version, features)."""
+    return members.groupBy("workspace").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", F.struct("version", "features"))))).alias("member_docs"))

@@ -200,3 +200,53 @@ def resume_missing(spark, d):
 
 def ranked_first(rows: DataFrame, by: str, order: str) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy(order))).where("nth = 1").drop("nth")
+
+
+def draft_modules(clusters: DataFrame, docs: DataFrame, provider: Provider) -> tuple[DataFrame, DataFrame]:
+    """(modules, members): a module a cluster, described by the provider from up to 20 of its functions' documents; every function in one module.
+
+    clusters(id, label), docs(id, doc). Single functions stay in a module only where it is the only one.
+    """
+    rows = clusters.join(docs, "id", "left")
+    sizes = clusters.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    one = sizes.agg(F.count(F.lit(1)).alias("modules"))
+    kept = sizes.crossJoin(F.broadcast(one)).where("n > 1 OR modules = 1").select("label")  # one row
+    preview = lookup.first_k(rows, ["label"], [F.col("id")], 20).groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.coalesce("doc", F.lit("")).alias("doc")))), lambda x: x["doc"]), "\n").alias("prompt"))
+    modules = asked(preview.join(kept, "label"), "prompt", "description", provider).select("label", F.concat(F.lit("Module "), "label").alias("name"), "description")
+    named = clusters.join(kept, "label").select(F.col("label").alias("module_ord"), F.col("id").alias("pos"), F.col("id").alias("item"))
+    return modules, lookup.repair_partition(named, clusters.select(F.col("id").alias("item")))
+
+
+def enhance(modules: DataFrame, provider: Provider) -> DataFrame:
+    """Descriptions asked again from themselves; where the provider fails the draft stays."""
+    return asked(modules, "description", "better", provider).withColumn("description", F.coalesce("better", "description")).drop("better")
+
+
+def initial_model(profiles: DataFrame, domain: str) -> DataFrame:
+    """A first model from raw features: every distinct one is a top-level feature. profiles(repo, feature, ord)."""
+    rows = distinct_in_order(profiles.select("feature", "ord"), "feature", "ord")
+    return rows.select(F.lit(domain).alias("model"), F.lit("1.0.0").alias("version"), s.digest8("feature").alias("id"), F.lit(None).cast("string").alias("parent_id"), F.col("feature").alias("name"), F.col("feature").alias("description"))
+
+
+@query("SELECT s_name || '::' || n_name AS symbol, CASE WHEN s_nationkey < 10 THEN 'crate_' || s_nationkey ELSE 'main' END AS crate FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+def symbol_crates(spark, d):
+    su, n = table(spark, d, "supplier"), table(spark, d, "nation")
+    rows = su.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat("s_name", F.lit("::"), "n_name").alias("symbol"), "s_name", "s_nationkey")
+    crates = rows.where("s_nationkey < 10").select(F.col("s_name").alias("name"), F.concat(F.lit("crate_"), "s_nationkey").alias("crate"))
+    return lookup.crates_of(rows, crates, "main")
+
+
+@query()
+def module_drafts(spark, d):
+    """Modules of the embeddings' labels, whose documents are benchmark texts."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    docs = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("doc"))
+    modules, members = draft_modules(e, docs, Summary())
+    counts = members.groupBy(F.col("module_ord").alias("label")).agg(F.count(F.lit(1)).alias("functions"))
+    return enhance(modules, Summary()).join(counts, "label", "left")
+
+
+@query("SELECT left(sha1(f), 8) AS id, f AS name FROM (SELECT DISTINCT trim(o_orderpriority) AS f FROM orders)")
+def bootstrap_model(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("repo"), F.col("o_orderpriority").alias("feature"), F.col("o_orderkey").alias("ord"))
+    return initial_model(rows, "domain").select("id", "name")

@@ -158,3 +158,45 @@ def last_by_name(rows: DataFrame, name: str, order: str) -> DataFrame:
     """The last row of each name; re-runs append and the newest counts."""
     w = Window.partitionBy(name).orderBy(F.desc(order))
     return rows.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+
+
+def fetch(url: str, path: str, chunk: int = 8192) -> bool:
+    """Copies a URL (http, https, file) to a local path on the driver; an existing file stays, a broken copy goes. False if there is no file."""
+    import os
+    import shutil
+    import urllib.request
+
+    if os.path.exists(path):
+        return True
+    part = f"{path}.part"
+    try:
+        with urllib.request.urlopen(url, timeout=60) as source, open(part, "wb") as target:
+            shutil.copyfileobj(source, target, chunk)
+        os.replace(part, path)
+    except (OSError, ValueError):
+        if os.path.exists(part):
+            os.remove(part)
+        return False
+    return True
+
+
+def repo_source(source: str) -> str:
+    """A URL as it is; a local file or folder as a file:// URL."""
+    from pathlib import Path
+
+    return source if "://" in source else Path(source).absolute().as_uri()
+
+
+def rustdoc_pages(spark: SparkSession, root: str) -> DataFrame:
+    """Items of the pages of a rustdoc tree: path, kind, name, signature, doc."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").load(root)
+    pages = rows.where(~F.col("path").rlike(r"(^|/)(index|search|help)\.[^/]*$")).select("path", F.explode(py.rustdoc_items(F.col("content").cast("string"))).alias("i"))
+    return pages.select("path", "i.*")
+
+
+def dependency_paths(names: DataFrame, *places: DataFrame) -> DataFrame:
+    """(name, path): the path of each name in the first of ``places`` (name, path) that has it."""
+    out = names.select("name").distinct()
+    for i, place in enumerate(places):
+        out = out.join(place.groupBy("name").agg(F.min("path").alias(f"_p{i}")), "name", "left")
+    return out.select("name", F.coalesce(*[f"_p{i}" for i in range(len(places))]).alias("path"))

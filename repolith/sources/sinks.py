@@ -49,3 +49,26 @@ def contents(files: DataFrame, path: str = "path") -> DataFrame:
     rank = F.when(F.lower(p).endswith("readme.md"), 0).when(p.endswith("repo.md"), 1).when(p.endswith("modules.md"), 2).otherwise(3)
     nth = F.row_number().over(Window.partitionBy().orderBy(rank, F.lower(p), p))
     return files.select(nth.alias("nth"), F.concat(F.lit("* ["), F.regexp_replace(p, r"\.md$", ""), F.lit("]("), p, F.lit(")")).alias("line"))
+
+
+def deliver(url: str, payload: str, attempts: int = 5, wait: float = 1.0) -> int:
+    """Posts JSON from the driver; errors and statuses from 400 on are tried again. The last status, 0 for none."""
+    import time
+    import urllib.error
+    import urllib.request
+
+    status = 0
+    for i in range(attempts):
+        try:
+            request = urllib.request.Request(url, payload.encode(), {"Content-Type": "application/json"})
+            with urllib.request.urlopen(request, timeout=60) as answer:
+                status = answer.status
+        except urllib.error.HTTPError as error:
+            status = error.code
+        except OSError:
+            status = 0
+        if 0 < status < 400:
+            break
+        if i + 1 < attempts:
+            time.sleep(wait)
+    return status

@@ -48,3 +48,29 @@ def test_headers():
     assert py.rename_headers(text + "\n#### Code Details\nc", ["Code Detail", "Descr"]).startswith("### f\n#### Descr\n")
     assert py.rename_headers(None, ["x"]) is None
     assert py.html_to_text("<p>a<b>c</b></p><script>x</script> d &amp; e") == "a c d & e"
+
+
+def test_code_synthesis(spark):
+    row = spark.sql("SELECT 'C' AS name, array(struct('x' AS name, 'int' AS type, 'public' AS access)) AS f, array(struct('void g()' AS signature, 'private' AS access)) AS m")
+    out = row.select(s.class_code("name", F.col("f"), F.col("m")).alias("c"), s.class_code("name", F.col("f"), F.col("m"), True).alias("e"), s.rust_code("name", F.col("f"), F.col("m")).alias("r")).first()
+    assert out.c == "class C {\npublic:\n  int x;\nprivate:\n  void g();\n};" and out.e == ""
+    assert out.r == "struct C {\n    x: int,\n}\n\nimpl C {\n    void g();\n}"
+
+
+def test_doc_comments(spark):
+    text = "Does it.\n# Parameters\n* `a`: first\n- `b` - second\n# Examples\n```rust\nrun();\n```\n# Errors\nnone"
+    assert value(spark, s.doc_examples("t"), t=text) == ["run();"]
+    assert value(spark, s.doc_section("t", "Errors"), t=text) == "none"
+    assert value(spark, s.doc_fields("t", "Parameters"), t=text) == {"a": "first", "b": "second"}
+    assert value(spark, s.derives("t"), t="#[derive(Debug, Clone)] #[derive(Clone)]") == ["Debug", "Clone"]
+    loc = value(spark, s.source_location("t"), t="../src/a/b.rs.html#12-14")
+    assert (loc.file, loc.line) == ("a/b.rs", 12)
+    assert value(spark, s.crate_of("t"), t="serde::de::X") == "serde"
+    assert value(spark, s.error_style("t"), t="x.unwrap()") == "panic"
+    assert value(spark, s.labelled(name=F.col("t"), gone=F.lit(None).cast("string")), t="x") == "Name: x"
+
+
+def test_rustdoc():
+    html = '<h3><code>pub struct Foo</code></h3><div class="docblock"><p>A foo.</p></div><h4><code>pub fn run(x: u8)</code></h4><div class="docblock">Runs <div>it</div></div>'
+    assert [(i["kind"], i["name"], i["doc"]) for i in py.rustdoc(html)] == [("type", "Foo", "A foo."), ("function", "run", "Runs it")]
+    assert py.rustdoc(None) == [] and py.is_doc_page("a/struct.Foo.html") and not py.is_doc_page("a/index.html")
