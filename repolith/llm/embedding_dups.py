@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import partitions, saved, table
-from .components import connected_components
+from .components import connected_components, local_components
 from .hnsw import HNSW
 from .vectors import matrix, usable
 
@@ -18,45 +18,47 @@ from .vectors import matrix, usable
 class _Shard:
     """The graph of one shard and the beam width that its audit asked for."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, least: float, recall: float, audit: int) -> None:
-        self.ids, self.least, self.norms = ids, least, np.linalg.norm(vectors, axis=1)
+    def __init__(self, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray, least: float, recall: float, audit: int) -> None:
+        self.ids, self.copies, self.least, self.norms = ids, copies, least, np.linalg.norm(vectors, axis=1)
         self.vectors, self.units = vectors, vectors / self.norms[:, None]
         self.graph = HNSW(self.units)
         rng = np.random.default_rng(len(ids))
         asked = rng.permutation(len(ids))[:audit]
-        true = [set(np.flatnonzero(row >= least).tolist()) for row in self.units[asked] @ self.units.T]
+        true = self.units[asked] @ self.units.T >= least
         self.width = 32
-        while self.width < len(ids):
-            found = self._beam(self.units[asked], self.width)
-            hit = sum(len(t & set(f[f >= 0].tolist())) for t, f in zip(true, found))
-            if hit >= recall * sum(map(len, true)):
+        while self._searches(self.width):
+            row, node = self._beam(self.units[asked], self.width)
+            if true[row, node].sum() >= recall * true.sum():
                 break
             self.width *= 2
 
-    def _beam(self, units: np.ndarray, width: int) -> np.ndarray:
-        """Nodes found; a beam that is full of links is widened for its query until it isn't, or holds the shard."""
-        out, sims = self.graph.search(units, min(width, len(self.ids)))
-        rows = np.flatnonzero(sims[:, -1] >= self.least - 1e-4)
-        lists = list(out)
-        while len(rows) and width < len(self.ids):
-            width *= 4
-            out, sims = self.graph.search(units[rows], min(width, len(self.ids)))
-            for r, found in zip(rows.tolist(), out):
-                lists[r] = found
-            rows = rows[sims[:, -1] >= self.least - 1e-4]
-        most = max(map(len, lists), default=0)
-        return np.array([np.pad(x, (0, most - len(x)), constant_values=-1) for x in lists])
-
-    def links(self, ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (smaller id, larger id) whose cosine in doubles is at least the threshold."""
+    def _searches(self, width: int) -> bool:
+        """Whether a beam of this width is cheaper than looking at the whole shard."""
+        return 4 * width < len(self.ids)
+
+    def _beam(self, units: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) pairs that may be links. A beam full of links is widened for its query until it isn't; at a quarter of the shard all of it is compared."""
+        found, rows = [], np.arange(len(units))
+        while len(rows) and self._searches(width):
+            nodes, sims = self.graph.search(units[rows], width)
+            full = sims[:, -1] >= self.least - 1e-4
+            r, c = np.nonzero((sims >= self.least - 1e-4) & ~full[:, None])
+            found.append((rows[r], nodes[r, c]))
+            rows, width = rows[full], width * 4
+        if len(rows):
+            r, node = np.nonzero(units[rows] @ self.units.T >= self.least - 1e-4)
+            found.append((rows[r], node))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+    def links(self, ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(links of each query, counting copies; node, its smallest linked node): pairs are links if their cosine in doubles reaches the threshold."""
         norms = np.linalg.norm(vectors, axis=1)
-        found = self._beam(vectors / norms[:, None], self.width)
-        row, column = np.nonzero(found >= 0)
-        node = found[row, column]
+        row, node = self._beam(vectors / norms[:, None], self.width)
         cosine = np.einsum("pd,pd->p", vectors[row], self.vectors[node]) / (norms[row] * self.norms[node])
         ok = (cosine >= self.least) & (self.ids[node] != ids[row])
-        a, b = ids[row[ok]], self.ids[node[ok]]
-        return np.minimum(a, b), np.maximum(a, b)
+        row, node = row[ok], node[ok]
+        nodes, low = local_components(ids[row], self.ids[node]) if len(row) else (np.empty(0, np.int64),) * 2
+        return np.bincount(row, weights=self.copies[node], minlength=len(ids)).astype(np.int64), nodes, low
 
 
 def near_duplicate_vectors(
@@ -68,6 +70,8 @@ def near_duplicate_vectors(
     ``shard_rows`` within their label; each shard has an HNSW graph, and every vector of the label
     asks every shard, as a stream of rows. A shard widens its beam until ``audit`` of its vectors
     find ``recall`` of the links that brute force finds in it. What is found is verified in doubles.
+    A vector's own searches count its links; only counts and a forest of each block leave a task, so
+    a dense group gives rows in proportion to its vectors.
 
     One row per input row: id, n_links (other rows linked directly), component_id (smallest id
     reachable), kept (it is its own component's). Null, empty and zero vectors, those with null or
@@ -87,8 +91,8 @@ def near_duplicate_vectors(
     sizes = reps.groupBy(F.col("label"), F.size("v").alias("dim")).agg((F.floor(F.count(F.lit(1)) / shard_rows) + 1).cast("int").alias("shards"))
     placed = reps.withColumn("dim", F.size("v")).join(sizes, ["label", "dim"])
     unit = lambda shard: F.xxhash64(F.col("label").cast("string"), "dim", shard)
-    stored = placed.select(unit(F.pmod(F.xxhash64("same"), F.col("shards"))).alias("unit"), F.lit(0).alias("kind"), "rep", "v")
-    asking = placed.withColumn("shard", F.explode(F.expr("sequence(0L, shards - 1L)"))).select(unit(F.col("shard")).alias("unit"), F.lit(1).alias("kind"), "rep", "v")
+    stored = placed.select(unit(F.pmod(F.xxhash64("same"), F.col("shards"))).alias("unit"), F.lit(0).alias("kind"), "rep", "copies", "v")
+    asking = placed.withColumn("shard", F.explode(F.expr("sequence(0L, shards - 1L)"))).select(unit(F.col("shard")).alias("unit"), F.lit(1).alias("kind"), "rep", "copies", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, shard = None, [], None
@@ -108,18 +112,20 @@ def near_duplicate_vectors(
                     continue
                 if shard is None:
                     own = pa.concat_tables(held)
-                    shard = _Shard(own["rep"].to_numpy(), matrix(own["v"]), least, recall, audit)
+                    shard = _Shard(own["rep"].to_numpy(), own["copies"].to_numpy(), matrix(own["v"]), least, recall, audit)
                 for start in range(low, high, block):
                     part = rows.slice(start, min(block, high - start))
-                    a, b = shard.links(part["rep"].to_numpy(), matrix(part["v"]))
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    ids = part["rep"].to_numpy()
+                    counts, nodes, low_nodes = shard.links(ids, matrix(part["v"]))
+                    ids, counts = ids[counts > 0], counts[counts > 0]
+                    joins = nodes != low_nodes
+                    a, b = np.concatenate([ids, nodes[joins]]), np.concatenate([ids, low_nodes[joins]])
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.concatenate([counts, np.zeros(int(joins.sum()), np.int64)]))], names=["a", "b", "linked"])
 
     units = stored.unionByName(asking).repartition(partitions(spark), "unit").sortWithinPartitions("unit", "kind", "rep")
-    pairs = saved(units.mapInArrow(run, "a long, b long").distinct(), "links")
-    counted = reps.select("rep", "copies")
-    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = both.join(counted, F.col("b") == F.col("rep")).groupBy("a").agg(F.sum("copies").alias("linked"))
-    components = connected_components(pairs)
+    found = saved(units.mapInArrow(run, "a long, b long, linked long"), "links")
+    linked = found.where("a = b").groupBy("a").agg(F.sum("linked").alias("linked"))
+    components = connected_components(found.where("a <> b").select("a", "b"))
     told = (
         reps.select("same", "rep", "copies").join(linked, F.col("rep") == linked["a"], "left").join(components, F.col("rep") == F.col("node"), "left")
         .select("same", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
