@@ -92,5 +92,12 @@ def with_answers(blocks: DataFrame, answers: DataFrame) -> DataFrame:
     return blocks.join(lists, "block", "left")
 
 
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one at a time: they are megabytes each."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def answers_of(row: dict) -> dict[int, bytes]:
     return {x["bucket"]: x["answer"] for x in row["answers"] or ()}

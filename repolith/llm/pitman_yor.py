@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import groups, partitions, saved, table
-from .exchange import ASKED, answers_of, asked_rows, by_bucket, make_blocks, open_block, with_answers
+from .exchange import ASKED, answers_of, asked_rows, by_bucket, make_blocks, open_block, rows_of, with_answers
 from .words import hashed, mixed
 
 #: The end of a text, and the context of its first token.
@@ -179,16 +179,15 @@ def score_texts(
     texts every token is unknown; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    buckets = partitions(spark)
+    buckets = 4 * partitions(spark)  # a task holds one bucket at a time
     blocks = make_blocks(docs, id_col, text_col, block_bytes)
 
     def ask_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                t = _Tokens(row["payload"], folds, held_out)
-                words, counts = np.unique(t.h[t.trains], return_counts=True)
-                order, cuts = by_bucket(words, buckets)
-                yield asked_rows(row["block"], cuts, lambda low, high: _write([words[order[low:high]], counts[order[low:high]].astype(np.int64)]))
+        for row in rows_of(batches):
+            t = _Tokens(row["payload"], folds, held_out)
+            words, counts = np.unique(t.h[t.trains], return_counts=True)
+            order, cuts = by_bucket(words, buckets)
+            yield asked_rows(row["block"], cuts, lambda low, high: _write([words[order[low:high]], counts[order[low:high]].astype(np.int64)]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket in groups(batches, "bucket"):
@@ -203,7 +202,7 @@ def score_texts(
             )
 
     def by_buckets(asked: DataFrame) -> DataFrame:
-        return asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
+        return asked.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "block")
 
     counted = saved(by_buckets(blocks.mapInArrow(ask_counts, ASKED)).mapInArrow(count, "word long, n long, distinct long"), "word-counts")
     n_tokens, n_distinct = counted.where("distinct > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
@@ -212,17 +211,16 @@ def score_texts(
     k = len(contexts)
 
     def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                p = _Pairs(_Tokens(row["payload"], folds, held_out), contexts)
-                order, cuts = by_bucket(p.words, buckets)
+        for row in rows_of(batches):
+            p = _Pairs(_Tokens(row["payload"], folds, held_out), contexts)
+            order, cuts = by_bucket(p.words, buckets)
 
-                def payload(low: int, high: int) -> bytes:
-                    own = order[low:high]
-                    at = p.in_order(own)
-                    return _write([p.words[own], p.each[own].astype(np.uint32), p.context[at].astype(np.uint32), p.counts[at]])
+            def payload(low: int, high: int) -> bytes:
+                own = order[low:high]
+                at = p.in_order(own)
+                return _write([p.words[own], p.each[own].astype(np.uint32), p.context[at].astype(np.uint32), p.counts[at]])
 
-                yield asked_rows(row["block"], cuts, payload)
+            yield asked_rows(row["block"], cuts, payload)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket in groups(batches, "bucket"):
@@ -234,12 +232,11 @@ def score_texts(
 
     def totals(m: dict, sweeps: int) -> None:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    bucket, rng = _Bucket(row["payloads"], k), np.random.default_rng([seed, row["bucket"], sweeps])
-                    for _ in range(sweeps):
-                        bucket.sweep(m, rng)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in bucket.totals(k)], names=["key", "a", "b"])
+            for row in rows_of(batches):
+                bucket, rng = _Bucket(row["payloads"], k), np.random.default_rng([seed, row["bucket"], sweeps])
+                for _ in range(sweeps):
+                    bucket.sweep(m, rng)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in bucket.totals(k)], names=["key", "a", "b"])
 
         rows = held.mapInArrow(run, "key long, a double, b double").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
         found = {r["key"]: (r["a"], r["b"]) for r in rows}
@@ -253,43 +250,41 @@ def score_texts(
     totals(model, burn_in)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                bucket, rng = _Bucket(row["payloads"], k), np.random.default_rng([seed, row["bucket"], 10**6])
-                mean = np.zeros(len(bucket.counts))
-                for i in range(burn_in + samples):
-                    bucket.sweep(model, rng)
-                    if i >= burn_in:
-                        mean += bucket.predictive(model) / samples
-                logs = np.log10(mean).astype(np.float32)
-                words = pairs = 0
-                for block, (n_words, n_pairs) in zip(row["blocks"], bucket.sizes):
-                    data = _write([bucket.tokens[bucket.of_asked[words : words + n_words]], logs[bucket.pair_of[pairs : pairs + n_pairs]]])
-                    words, pairs = words + n_words, pairs + n_pairs
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([row["bucket"]], pa.int32()), pa.array([data], pa.binary())], names=["block", "bucket", "payload"])
+        for row in rows_of(batches):
+            bucket, rng = _Bucket(row["payloads"], k), np.random.default_rng([seed, row["bucket"], 10**6])
+            mean = np.zeros(len(bucket.counts))
+            for i in range(burn_in + samples):
+                bucket.sweep(model, rng)
+                if i >= burn_in:
+                    mean += bucket.predictive(model) / samples
+            logs = np.log10(mean).astype(np.float32)
+            words = pairs = 0
+            for block, (n_words, n_pairs) in zip(row["blocks"], bucket.sizes):
+                data = _write([bucket.tokens[bucket.of_asked[words : words + n_words]], logs[bucket.pair_of[pairs : pairs + n_pairs]]])
+                words, pairs = words + n_words, pairs + n_pairs
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([row["bucket"]], pa.int32()), pa.array([data], pa.binary())], names=["block", "bucket", "payload"])
 
     base_total = float(np.log10(n_tokens + n_distinct + 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                t = _Tokens(row["payload"], folds, held_out)
-                p = _Pairs(t, contexts)
-                order, cuts = by_bucket(p.words, buckets)
-                seen, logs = np.zeros(len(p.words), np.int64), np.zeros(len(p.counts))
-                for bucket, data in answers_of(row).items():
-                    own = order[cuts[bucket] : cuts[bucket + 1]]
-                    seen[own], logs[p.in_order(own)] = _read(data, (np.int64, np.float32))
-                cut = np.cumsum(t.counts) - t.counts
-                sums = lambda x: np.add.reduceat(x, cut) if len(cut) else np.empty(0)  # noqa: E731,B023
-                c = seen[p.of_word]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        t.ids, pa.array(t.held_out), pa.array(t.counts), pa.array(sums((c > 0).astype(np.int64))), pa.array(np.full(len(t.ids), n_tokens)),
-                        pa.array(sums(np.log10(c + 1.0)) - t.counts * base_total), pa.array(sums(logs[p.of_token])),
-                    ],
-                    names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+        for row in rows_of(batches):
+            t = _Tokens(row["payload"], folds, held_out)
+            p = _Pairs(t, contexts)
+            order, cuts = by_bucket(p.words, buckets)
+            seen, logs = np.zeros(len(p.words), np.int64), np.zeros(len(p.counts))
+            for bucket, data in answers_of(row).items():
+                own = order[cuts[bucket] : cuts[bucket + 1]]
+                seen[own], logs[p.in_order(own)] = _read(data, (np.int64, np.float32))
+            cut = np.cumsum(t.counts) - t.counts
+            sums = lambda x: np.add.reduceat(x, cut) if len(cut) else np.empty(0)  # noqa: E731,B023
+            c = seen[p.of_word]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    t.ids, pa.array(t.held_out), pa.array(t.counts), pa.array(sums((c > 0).astype(np.int64))), pa.array(np.full(len(t.ids), n_tokens)),
+                    pa.array(sums(np.log10(c + 1.0)) - t.counts * base_total), pa.array(sums(logs[p.of_token])),
+                ],
+                names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return with_answers(blocks, held.mapInArrow(answer, ASKED)).mapInArrow(score, schema).withColumnRenamed("id", id_col)

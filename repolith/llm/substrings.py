@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import partitions, saved, table
-from .exchange import ASKED, answered, answers_of, asked_rows, by_bucket, make_blocks, open_block, with_answers
+from .exchange import ASKED, answered, answers_of, asked_rows, by_bucket, make_blocks, open_block, rows_of, with_answers
 from .words import hashed, mixed, windows
 
 #: A perfect difference cover modulo 21. For any two places there is a shift below 21
@@ -132,9 +132,8 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
         return np.concatenate([np.empty(0, np.uint64), *found])[:, None]
 
     def ask_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield _ask(row["block"], anchors_of(open_block(row["payload"])[1]), buckets)
+        for row in rows_of(batches):
+            yield _ask(row["block"], anchors_of(open_block(row["payload"])[1]), buckets)
 
     def window_keys(texts: pa.Array, answers: dict[int, bytes]) -> tuple[list[_Text], list[np.ndarray], np.ndarray]:
         parts = list(_texts(texts))
@@ -148,38 +147,36 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
         return parts, starts, keys
 
     def ask_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                _, _, keys = window_keys(open_block(row["payload"])[1], answers_of(row))
-                if len(keys):
-                    yield _ask(row["block"], keys, buckets)
+        for row in rows_of(batches):
+            _, _, keys = window_keys(open_block(row["payload"])[1], answers_of(row))
+            if len(keys):
+                yield _ask(row["block"], keys, buckets)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, texts, *others = open_block(row["payload"])
-                parts, starts, keys = window_keys(texts, answers_of(row))
-                again = _told(keys, buckets, {x["bucket"]: x["answer"] for x in row["more"] or ()})
-                at, lengths, removed, kept = 0, [], [], []
-                for text, own in zip(parts, starts):
-                    n = len(text.h)
-                    hit = own[again[at : at + len(own)]]
-                    at += len(own)
-                    steps = np.zeros(n + 1, np.int64)
-                    np.add.at(steps, hit, 1)
-                    np.add.at(steps, hit + window, -1)
-                    stays = np.flatnonzero(np.cumsum(steps[:n]) == 0)
-                    whole = text.data.tobytes()[int(text.starts[0]) : int(text.ends[-1])] if n == len(stays) and n else b""
-                    words = whole.split() if whole else [text.data[a:b].tobytes() for a, b in zip(text.starts[stays].tolist(), text.ends[stays].tolist())]
-                    lengths.append(n)
-                    removed.append(n - len(stays))
-                    kept.append(b" ".join(words))
-                sums = pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())
-                texts = pc.if_else(pc.equal(pa.array(removed, pa.int64()), 0), texts, pa.array(kept, pa.binary()).cast(pa.string()))
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(lengths, pa.int64()), pa.array(removed, pa.int64()), sums, texts, *others],
-                    names=["id", "n_words", "n_removed", "kept_sha256", "kept", *(f"more_{i}" for i in range(len(more)))],
-                )
+        for row in rows_of(batches):
+            ids, texts, *others = open_block(row["payload"])
+            parts, starts, keys = window_keys(texts, answers_of(row))
+            again = _told(keys, buckets, {x["bucket"]: x["answer"] for x in row["more"] or ()})
+            at, lengths, removed, kept = 0, [], [], []
+            for text, own in zip(parts, starts):
+                n = len(text.h)
+                hit = own[again[at : at + len(own)]]
+                at += len(own)
+                steps = np.zeros(n + 1, np.int64)
+                np.add.at(steps, hit, 1)
+                np.add.at(steps, hit + window, -1)
+                stays = np.flatnonzero(np.cumsum(steps[:n]) == 0)
+                whole = text.data.tobytes()[int(text.starts[0]) : int(text.ends[-1])] if n == len(stays) and n else b""
+                words = whole.split() if whole else [text.data[a:b].tobytes() for a, b in zip(text.starts[stays].tolist(), text.ends[stays].tolist())]
+                lengths.append(n)
+                removed.append(n - len(stays))
+                kept.append(b" ".join(words))
+            sums = pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())
+            texts = pc.if_else(pc.equal(pa.array(removed, pa.int64()), 0), texts, pa.array(kept, pa.binary()).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(lengths, pa.int64()), pa.array(removed, pa.int64()), sums, texts, *others],
+                names=["id", "n_words", "n_removed", "kept_sha256", "kept", *(f"more_{i}" for i in range(len(more)))],
+            )
 
     repeated = answered(blocks.mapInArrow(ask_anchors, ASKED), _repeats(1))
     kinds = "".join(f", more_{i} {docs.select(c).dtypes[0][1]}" for i, c in enumerate(more))
