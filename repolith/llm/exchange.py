@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import groups, partitions, saved
+from .tokens import tidy
 
 ASKED = "block long, bucket int, payload binary"
 
@@ -25,6 +26,7 @@ def make_blocks(docs: DataFrame, id_col: str, text_col: str, size: int = 4 << 20
     """(block, payload): documents in blocks of about ``size`` bytes of text, written once, so that a block never changes; ``more`` columns go with them."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         part, n, held, held_size = TaskContext.get().partitionId(), 0, [], 0
 
         def block() -> pa.RecordBatch:
@@ -76,6 +78,7 @@ def answered(asked: DataFrame, answer: Callable[[int, list[bytes]], list[bytes]]
     """``answer`` gets a bucket's number and the payloads of all blocks, and returns one payload for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for bucket in groups(batches, "bucket"):
             out = answer(bucket["bucket"][0].as_py(), bucket["payload"].to_pylist())
             blocks, number = bucket["block"].combine_chunks(), bucket["bucket"].combine_chunks()
@@ -94,6 +97,7 @@ def with_answers(blocks: DataFrame, answers: DataFrame) -> DataFrame:
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """Rows one at a time: they are megabytes each."""
+    tidy()
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch.slice(i, 1).to_pylist()[0]

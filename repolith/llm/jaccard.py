@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import groups, partitions, saved, table
 from .components import connected_components, local_components
+from .tokens import tidy
 from .words import hashed, mixed, windows
 
 BANDS, ROWS = 25, 5
@@ -122,6 +123,7 @@ def jaccard_join(
     n = partitions(spark)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for at, counts, h, *_ in hashed(batch.column(1), lower=True):
                 ends = np.cumsum(counts)
@@ -157,6 +159,7 @@ def jaccard_join(
     units = _in_blocks(bands.join(distinct, "key"), "key", block).select("unit", "side", "node").join(classes.select("node", "values"), "node")
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for unit in groups(batches, "unit"):
             nodes, sides = unit["node"].to_numpy(), unit["side"].to_numpy()
             values = np.frombuffer(b"".join(unit["values"].to_pylist()), np.uint32).reshape(len(nodes), HASHES)
@@ -176,6 +179,7 @@ def jaccard_join(
     texts = members.join(plain, F.col("rep").eqNullSafe(F.col("id"))).select("unit", "side", "node", "copies", "text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for unit in groups(batches, "unit"):
             nodes, sides, copies, sets = [], [], [], []
             seen = set()

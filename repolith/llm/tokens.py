@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections.abc import Iterator
 from zlib import crc32
@@ -69,7 +71,7 @@ class SegmentEncoder:
     ``most`` of them. A text with other white space is encoded in one call.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000) -> None:
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -85,7 +87,7 @@ class SegmentEncoder:
         self.used = self.known = 0
 
     def _learn(self, h: np.ndarray, segments: list[str]) -> None:
-        lists = [x.ids for x in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
+        lists = [x.ids for low in range(0, len(segments), 4096) for x in self.tokenizer.encode_batch_fast(segments[low : low + 4096], add_special_tokens=False)]
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.fromiter((i for x in lists for i in x), np.uint32, int(lengths.sum()))
         at, n = self.known, len(segments)
@@ -164,9 +166,20 @@ def checksum(ids: np.ndarray) -> int:
 _encoders: dict[str, SegmentEncoder] = {}
 
 
+def tidy(keep: str | None = None) -> None:
+    """For the start of a task: Python workers serve one operator after another, so encoders other than ``keep`` go and freed memory returns to the system."""
+    for path in [x for x in _encoders if x != keep]:
+        del _encoders[path]
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def encoder(path: str) -> SegmentEncoder:
     """One per process and vocabulary."""
+    tidy(path)
     if path not in _encoders:
-        _encoders.clear()
         _encoders[path] = SegmentEncoder(path)
     return _encoders[path]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .gated import Adam, GatedNetwork
-from .tokens import _Places
+from .tokens import _Places, tidy
 from .words import byte_grams, hashed
 
 GRAM = 5
@@ -228,6 +228,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.scores(batch.column(2)))], names=["id", "held_out", "score"])
@@ -242,6 +243,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") ->
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             if batch.num_rows:
                 yield batch.filter(pa.array(model.scores(batch.column(place)) < 0.5))
