@@ -88,14 +88,14 @@ def type_edges(spark, d):
 SELECT node, nth, neighbour, doc FROM x WHERE nth <= 10""")
 def callee_docs(spark, d):
     docs = table(spark, d, "part").select(F.col("p_partkey").alias("name"), F.when(F.col("p_size") > 10, F.col("p_name")).alias("doc"))
-    return lookup.neighbour_docs(part_calls(spark, d), docs, 10)
+    return lookup.neighbour_docs(part_calls(spark, d), docs, 10).withColumn("nth", F.col("nth").cast("long"))
 
 
 @query(f"""WITH {PART_CALLS}, x AS (SELECT dst AS node, src AS neighbour, p_name AS doc, row_number() OVER (PARTITION BY dst ORDER BY src) AS nth FROM ce JOIN part ON p_partkey = src)
 SELECT node, nth, neighbour, doc FROM x WHERE nth <= 5""")
 def caller_docs(spark, d):
     docs = table(spark, d, "part").select(F.col("p_partkey").alias("name"), F.col("p_name").alias("doc"))
-    return lookup.neighbour_docs(part_calls(spark, d), docs, 5, "dst", "src")
+    return lookup.neighbour_docs(part_calls(spark, d), docs, 5, "dst", "src").withColumn("nth", F.col("nth").cast("long"))
 
 
 @query("""WITH k AS (SELECT DISTINCT p_name AS key FROM part), c AS (SELECT DISTINCT p_name AS callee FROM part UNION SELECT DISTINCT substr(p_name, 3) FROM part UNION SELECT 'absent'),
