@@ -56,8 +56,8 @@ class ToxicityModel:
         places.add(np.maximum(keys[held], 1), np.arange(int(held.sum()), dtype=np.int32))
         return places, lean[held]
 
-    def _stretches(self, texts: pa.Array) -> Iterator[_Stretch]:
-        for _, counts, h, data, starts, ends in hashed(texts, lower=True, outside=OUTSIDE):
+    def _stretches(self, texts: pa.Array, most: int = 1 << 20) -> Iterator[_Stretch]:
+        for _, counts, h, data, starts, ends in hashed(texts, lower=True, most=most, outside=OUTSIDE):
             of, grams = byte_grams(data, starts, ends, GRAM, OUTSIDE)
             place = self.gram_places.find(grams)
             known = place >= 0
@@ -102,9 +102,11 @@ class ToxicityModel:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         out = []
-        for s in self._stretches(texts):
-            logits, _, of = self._logits(s)
-            out.append(np.maximum.reduceat(logits, np.searchsorted(of, np.arange(len(s.counts)))))
+        # a few hundred texts and 256 KB at a time: a worker's memory doesn't follow the size of its batches
+        for low in range(0, len(texts), 512):
+            for s in self._stretches(texts.slice(low, 512), 1 << 18):
+                logits, _, of = self._logits(s)
+                out.append(np.maximum.reduceat(logits, np.searchsorted(of, np.arange(len(s.counts)))))
         logits = np.concatenate(out).astype(np.float64) if out else np.empty(0)
         return 1 / (1 + np.exp(-(logits - self.shift)))
 
