@@ -160,7 +160,7 @@ def _discount(ones: float, twos: float) -> float:
 
 def score_texts(
     docs: DataFrame, folds: int = 7, held_out: int = 2, share: float = 2e-5, samples: int = 3, burn_in: int = 2, theta: tuple[float, float] = (10.0, 1.0), seed: int = 17,
-    id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20,
+    id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20,
 ) -> DataFrame:
     """log10 probabilities of whole texts, by add-one counts and by a hierarchical Pitman-Yor model.
 
