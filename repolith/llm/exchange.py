@@ -101,6 +101,7 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch.slice(i, 1).to_pylist()[0]
+    tidy()
 
 
 def answers_of(row: dict) -> dict[int, bytes]:

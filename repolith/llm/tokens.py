@@ -11,7 +11,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 
-from .words import flat_texts, mixed, spans
+from .words import ROWS, flat_texts, mixed, spans
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x0A]] = True
@@ -71,7 +71,7 @@ class SegmentEncoder:
     ``most`` of them. A text with other white space is encoded in one call.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, most: int = 700_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -103,6 +103,10 @@ class SegmentEncoder:
 
     def encode(self, texts: pa.Array, most: int = 1 << 20) -> Iterator[np.ndarray]:
         """The ids of each text in turn; null texts have none."""
+        if len(texts) > ROWS:
+            for low in range(0, len(texts), ROWS):
+                yield from self.encode(texts.slice(low, ROWS), most)
+            return
         data, offsets = flat_texts(texts)
         at = 0
         while at < len(offsets) - 1:

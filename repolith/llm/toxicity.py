@@ -103,10 +103,9 @@ class ToxicityModel:
     def scores(self, texts: pa.Array) -> np.ndarray:
         out = []
         # a few hundred texts and 256 KB at a time: a worker's memory doesn't follow the size of its batches
-        for low in range(0, len(texts), 512):
-            for s in self._stretches(texts.slice(low, 512), 1 << 18):
-                logits, _, of = self._logits(s)
-                out.append(np.maximum.reduceat(logits, np.searchsorted(of, np.arange(len(s.counts)))))
+        for s in self._stretches(texts, 1 << 18):
+            logits, _, of = self._logits(s)
+            out.append(np.maximum.reduceat(logits, np.searchsorted(of, np.arange(len(s.counts)))))
         logits = np.concatenate(out).astype(np.float64) if out else np.empty(0)
         return 1 / (1 + np.exp(-(logits - self.shift)))
 

@@ -14,6 +14,8 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _RANDOM = np.random.default_rng(20260101).integers(1, 1 << 63, 256, dtype=np.uint64)
 _LOWER = _RANDOM.copy()
 _LOWER[65:91] = _RANDOM[97:123]
+#: Texts that are copied at a time.
+ROWS = 512
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
@@ -78,6 +80,11 @@ def hashed(texts: pa.Array, lower: bool, most: int = 1 << 20, outside: np.ndarra
     (first text, words of each text, hashes of all words in turn, bytes, first byte and end of each word).
     Null texts have no words.
     """
+    if len(texts) > ROWS:  # copies that a batch needs stay small
+        for low in range(0, len(texts), ROWS):
+            for at, *rest in hashed(texts.slice(low, ROWS), lower, most, outside):
+                yield low + at, *rest
+        return
     data, offsets = flat_texts(texts)
     at = 0
     while at < len(offsets) - 1:
