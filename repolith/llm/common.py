@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -68,6 +69,12 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
             written.remove(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of frames that nothing refers to any more, as it does when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     """Partitions of a shuffle: the session's setting, which the operator of the cluster sizes to the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

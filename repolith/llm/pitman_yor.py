@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import groups, partitions, saved, table
-from .exchange import ASKED, answers_of, asked_rows, by_bucket, make_blocks, open_block, rows_of, with_answers
+from .common import drop, groups, partitions, release, saved, table, written
+from .exchange import ASKED, answered, answers_of, asked_rows, by_bucket, make_blocks, open_block, rows_of, with_answers
 from .words import hashed, mixed
 
 #: The end of a text, and the context of its first token.
@@ -46,15 +46,14 @@ class _Tokens:
 class _Pairs:
     """A block's distinct (token, context) pairs by token hash, with how often training texts have each."""
 
-    def __init__(self, t: _Tokens, contexts: np.ndarray) -> None:
+    def __init__(self, t: _Tokens) -> None:
         self.words, of = np.unique(t.h, return_inverse=True)
-        at = np.searchsorted(contexts, t.before)
-        known = contexts[np.minimum(at, len(contexts) - 1)] == t.before if len(contexts) else np.zeros(len(at), bool)
-        context = np.where(known, at + 1, 0)
-        keys, self.of_token = np.unique(of * (len(contexts) + 1) + context, return_inverse=True)
+        contexts, context = np.unique(t.before, return_inverse=True)
+        keys, self.of_token = np.unique(of * len(contexts) + context, return_inverse=True)
         self.counts = np.bincount(self.of_token, weights=t.trains, minlength=len(keys)).astype(np.uint32)
-        self.word_of, self.context = np.divmod(keys, len(contexts) + 1)
-        self.each = np.bincount(self.word_of, minlength=len(self.words))
+        word_of, at = np.divmod(keys, max(1, len(contexts)))
+        self.contexts = contexts[at]
+        self.each = np.bincount(word_of, minlength=len(self.words))
         self.first = np.cumsum(self.each) - self.each
         self.of_word = of
 
@@ -78,7 +77,10 @@ def _read(data: bytes, kinds: tuple, at: int = 0) -> list[np.ndarray]:
     return out
 
 
-PAIRS = (np.uint64, np.uint32, np.uint32, np.uint32)
+#: Words, pairs of each, contexts and counts of the pairs, as a block sends them; a bucket's pairs, merged.
+PAIRS, MERGED = (np.uint64, np.uint32, np.uint64, np.uint32), (np.uint32, np.uint64, np.int64)
+#: Contexts, their tables and customers.
+TOTALS = (np.uint64, np.int64, np.int64)
 
 
 def seat(counts: np.ndarray, parent: np.ndarray, strength: np.ndarray, discount: float, rng: np.random.Generator, exact: int = 64) -> np.ndarray:
@@ -104,54 +106,95 @@ def seat(counts: np.ndarray, parent: np.ndarray, strength: np.ndarray, discount:
     return tables
 
 
+def _rising(x: np.ndarray) -> bytes:
+    """Rising numbers, small: their steps, compressed."""
+    steps = np.diff(x, prepend=x[:1] * 0).astype(np.uint32)
+    return np.int64(len(x)).tobytes() + pa.Codec("zstd").compress(steps.tobytes(), asbytes=True)
+
+
+def _risen(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    return np.cumsum(np.frombuffer(pa.Codec("zstd").decompress(data[8:], 4 * n, asbytes=True), np.uint32), dtype=np.int64)
+
+
+def merge(payloads: list[bytes]) -> tuple[bytes, list[list[bytes]]]:
+    """A bucket's distinct pairs by word, and the places of each block's words and pairs among them, which rise."""
+    parts = [_read(p, PAIRS) for p in payloads]
+    words, each, contexts, counts = (np.concatenate(x) for x in zip(*parts))
+    words, word_of = np.unique(words, return_inverse=True)
+    contexts, context_of = np.unique(contexts, return_inverse=True)
+    keys, pair_of = np.unique(np.repeat(word_of, each) * len(contexts) + context_of, return_inverse=True)
+    word, context = np.divmod(keys, len(contexts))
+    total = np.bincount(pair_of, weights=counts, minlength=len(keys)).astype(np.int64)
+    places, w, p = [], 0, 0
+    for part in parts:
+        places.append([_rising(word_of[w : w + len(part[0])]), _rising(pair_of[p : p + len(part[2])])])
+        w, p = w + len(part[0]), p + len(part[2])
+    return _write([np.bincount(word, minlength=len(words)).astype(np.uint32), contexts[context], total]), places
+
+
+def sum_contexts(_: int, payloads: list[bytes]) -> list[bytes]:
+    """Tables and customers of each context that a bucket asks for, over all buckets."""
+    parts = [_read(p, TOTALS) for p in payloads]
+    contexts, *sums = (np.concatenate(x) for x in zip(*parts))
+    _, at = np.unique(contexts, return_inverse=True)
+    sums = [np.bincount(at, weights=x).astype(np.int64)[at] for x in sums]
+    stops = np.cumsum([len(p[0]) for p in parts])
+    return [_write([x[stop - len(p[0]) : stop] for x in sums]) for p, stop in zip(parts, stops.tolist())]
+
+
 class _Bucket:
-    """All pairs of the tokens of one bucket, and their seating."""
-
-    def __init__(self, payloads: list[bytes], contexts: int) -> None:
-        parts = [_read(p, PAIRS) for p in payloads]
-        words, each, context, counts = (np.concatenate(x) for x in zip(*parts))
-        self.sizes = [(len(p[0]), len(p[2])) for p in parts]
-        self.words, self.of_asked = np.unique(words, return_inverse=True)
-        keys, self.pair_of = np.unique(np.repeat(self.of_asked, each) * (contexts + 1) + context.astype(np.int64), return_inverse=True)
-        self.counts = np.bincount(self.pair_of, weights=counts, minlength=len(keys)).astype(np.int64)
-        self.word, self.context = np.divmod(keys, contexts + 1)
-        n = len(self.words)
+    """All pairs of the tokens of one bucket, their seating, and the totals of their contexts' restaurants."""
+
+    def __init__(self, payload: bytes, buckets: int, answers: dict[int, bytes]) -> None:
+        each, contexts, self.counts = _read(payload, MERGED)
+        n = len(each)
+        self.word = np.repeat(np.arange(n), each)
+        self.contexts, self.context = np.unique(contexts, return_inverse=True)
+        self.order, self.cuts = by_bucket(self.contexts, buckets)
+        self.T, self.C = np.zeros(len(self.contexts), np.int64), np.zeros(len(self.contexts), np.int64)
+        for bucket, data in answers.items():
+            own = self.order[self.cuts[bucket] : self.cuts[bucket + 1]]
+            self.T[own], self.C[own] = _read(data, TOTALS[1:])
         self.tokens = np.bincount(self.word, weights=self.counts, minlength=n).astype(np.int64)
-        self.own = self.context > 0
-        self.tables = np.where(self.own, np.minimum(self.counts, 1), 0)
+        self.tables = np.minimum(self.counts, 1)
         self.root_tables = np.minimum(self.tokens, 1)
 
     def customers(self) -> np.ndarray:
-        """At the root: those without a context of their own, and one for each table below."""
-        return np.bincount(self.word, weights=np.where(self.own, self.tables, self.counts), minlength=len(self.words)).astype(np.int64)
+        """At the root: one for each table below."""
+        return np.bincount(self.word, weights=self.tables, minlength=len(self.tokens)).astype(np.int64)
 
     def root(self, m: dict) -> np.ndarray:
         n = self.customers()
         return (n - m["d0"] * self.root_tables + (m["theta0"] + m["d0"] * m["root_tables"]) / (m["V"] + 1)) / (m["theta0"] + m["root_customers"])
 
     def sweep(self, m: dict, rng: np.random.Generator) -> None:
-        strength = m["theta1"] + m["d1"] * np.maximum(m["T"][self.context] - self.tables, 0)
-        fresh = seat(self.counts, self.root(m)[self.word], strength, m["d1"], rng)
-        self.tables = np.where(self.own, fresh, 0)
+        strength = m["theta1"] + m["d1"] * np.maximum(self.T[self.context] - self.tables, 0)
+        self.tables = seat(self.counts, self.root(m)[self.word], strength, m["d1"], rng)
         n = self.customers()
         others = m["theta0"] + m["d0"] * np.maximum(m["root_tables"] - self.root_tables, 0)
         self.root_tables = seat(n, np.full(len(n), 1 / (m["V"] + 1)), others, m["d0"], rng)
 
     def predictive(self, m: dict) -> np.ndarray:
+        """A context that doesn't occur in training has no customers, which leaves the root."""
         root = self.root(m)[self.word]
-        down = (self.counts - m["d1"] * self.tables + (m["theta1"] + m["d1"] * m["T"][self.context]) * root) / (m["theta1"] + m["C"][self.context])
-        return np.where(self.own, down, root)
+        return (self.counts - m["d1"] * self.tables + (m["theta1"] + m["d1"] * self.T[self.context]) * root) / (m["theta1"] + self.C[self.context])
+
+    def asked(self, number: int) -> pa.RecordBatch:
+        """What the bucket has of each context's tables and customers."""
+        t, c = (np.bincount(self.context, weights=x, minlength=len(self.contexts)).astype(np.int64) for x in (self.tables, self.counts))
+
+        def payload(low: int, high: int) -> bytes:
+            own = self.order[low:high]
+            return _write([self.contexts[own], t[own], c[own]])
+
+        return asked_rows(number, self.cuts, payload)
 
-    def totals(self, contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(key, a, b): of each context its tables and customers; -1: tables and customers of the root; -2 and -3: dishes of one and of two customers, below and at the root."""
-        t = np.bincount(self.context, weights=self.tables, minlength=contexts + 1)
-        c = np.bincount(self.context, weights=self.counts, minlength=contexts + 1)
+    def sums(self) -> np.ndarray:
+        """Training tokens and distinct ones; tables and customers of the root; dishes of one and of two customers below, and at the root."""
         n = self.customers()
-        seen = self.counts[self.own]
-        keys = np.flatnonzero((t > 0) | (c > 0))
-        a = [*t[keys], self.root_tables.sum(), (seen == 1).sum(), (n == 1).sum()]
-        b = [*c[keys], n.sum(), (seen == 2).sum(), (n == 2).sum()]
-        return np.append(keys, [-1, -2, -3]), np.array(a), np.array(b)
+        below = (self.counts == 1).sum(), (self.counts == 2).sum()
+        return np.array([self.tokens.sum(), (self.tokens > 0).sum(), self.root_tables.sum(), n.sum(), *below, (n == 1).sum(), (n == 2).sum()], np.int64)
 
 
 def _discount(ones: float, twos: float) -> float:
@@ -159,18 +202,18 @@ def _discount(ones: float, twos: float) -> float:
 
 
 def score_texts(
-    docs: DataFrame, folds: int = 7, held_out: int = 2, share: float = 2e-5, samples: int = 3, burn_in: int = 2, theta: tuple[float, float] = (10.0, 1.0), seed: int = 17,
+    docs: DataFrame, folds: int = 7, held_out: int = 2, samples: int = 3, burn_in: int = 2, theta: tuple[float, float] = (10.0, 1.0), seed: int = 17,
     id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20,
 ) -> DataFrame:
     """log10 probabilities of whole texts, by add-one counts and by a hierarchical Pitman-Yor model.
 
     Tokens are runs of characters other than ASCII white space, A-Z as a-z, then one end. Texts whose
-    crc32(id) modulo ``folds`` isn't ``held_out`` train. Every token that is ``share`` or more of the
-    training tokens, so at most 1 / share of them, is a context with a restaurant of its own; all
-    restaurants share the root as parent, where other contexts sit, and the root's base is even over
-    the V tokens and one for all others. Pairs (token, context) go to buckets by token as one entry
-    a block. A bucket seats its customers by Gibbs sweeps, given the restaurants' totals, which are
-    summed over buckets between rounds: a row per context comes to the driver. Discounts come from
+    crc32(id) modulo ``folds`` isn't ``held_out`` train. Every token that training texts have is a
+    context with a restaurant of its own, after any other the root predicts; all restaurants share
+    the root as parent, whose base is even over the V tokens and one for all others. Pairs (token,
+    context) go to buckets by token as one entry a block. A bucket seats its customers by Gibbs
+    sweeps, given the restaurants' totals, which are summed between rounds in buckets by context and
+    go back to the buckets that asked; only sums over all come to the driver. Discounts come from
     the numbers of dishes with one and two customers. A text's score sums log10 of the predictive
     probability, averaged over ``samples`` seatings. The same input gives the same scores.
 
@@ -179,97 +222,81 @@ def score_texts(
     texts every token is unknown; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    buckets = 4 * partitions(spark)  # a task holds one bucket at a time
+    n = partitions(spark)
+    buckets = 4 * n  # a task holds one bucket at a time
     blocks = make_blocks(docs, id_col, text_col, block_bytes)
 
-    def ask_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows_of(batches):
-            t = _Tokens(row["payload"], folds, held_out)
-            words, counts = np.unique(t.h[t.trains], return_counts=True)
-            order, cuts = by_bucket(words, buckets)
-            yield asked_rows(row["block"], cuts, lambda low, high: _write([words[order[low:high]], counts[order[low:high]].astype(np.int64)]))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket in groups(batches, "bucket"):
-            words, counts = (np.concatenate(x) for x in zip(*(_read(p, (np.uint64, np.int64)) for p in bucket["payload"].to_pylist())))
-            keys, index = np.unique(words, return_inverse=True)
-            total = np.bincount(index, weights=counts).astype(np.int64)
-            # the whole has no fewer tokens than the bucket, so no context is missed
-            often = total >= share * total.sum()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(keys[often].view(np.int64), 0)), pa.array(np.append(total[often], total.sum())), pa.array(np.append(np.zeros(int(often.sum()), np.int64), len(keys)))],
-                names=["word", "n", "distinct"],
-            )
-
-    def by_buckets(asked: DataFrame) -> DataFrame:
-        return asked.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "block")
-
-    counted = saved(by_buckets(blocks.mapInArrow(ask_counts, ASKED)).mapInArrow(count, "word long, n long, distinct long"), "word-counts")
-    n_tokens, n_distinct = counted.where("distinct > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    often = counted.where(F.col("distinct") == 0).where(F.col("n") >= share * n_tokens).select("word").collect()
-    contexts = np.sort(np.array([r["word"] for r in often], np.int64).view(np.uint64))
-    k = len(contexts)
-
     def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            p = _Pairs(_Tokens(row["payload"], folds, held_out), contexts)
+            p = _Pairs(_Tokens(row["payload"], folds, held_out))
             order, cuts = by_bucket(p.words, buckets)
 
             def payload(low: int, high: int) -> bytes:
                 own = order[low:high]
                 at = p.in_order(own)
-                return _write([p.words[own], p.each[own].astype(np.uint32), p.context[at].astype(np.uint32), p.counts[at]])
+                return _write([p.words[own], p.each[own].astype(np.uint32), p.contexts[at], p.counts[at]])
 
             yield asked_rows(row["block"], cuts, payload)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket in groups(batches, "bucket"):
-            yield pa.RecordBatch.from_arrays([pa.array([bucket["bucket"][0].as_py()], pa.int32()), pa.array([bucket["block"].to_pylist()], pa.list_(pa.int64())), pa.array([bucket["payload"].to_pylist()], pa.list_(pa.binary()))], names=["bucket", "blocks", "payloads"])
+            merged, places = merge(bucket["payload"].to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([bucket["bucket"][0].as_py()], pa.int64()), pa.array([merged], pa.binary()), pa.array([bucket["block"].to_pylist()], pa.list_(pa.int64())), pa.array([places], pa.list_(pa.list_(pa.binary())))], names=["block", "payload", "blocks", "places"])
+
+    # a bucket is one row, so that no reader splits it; it asks buckets of contexts as a block does
+    asked = blocks.mapInArrow(ask_pairs, ASKED).repartition(n, "bucket").sortWithinPartitions("bucket", "block")
+    held = saved(asked.mapInArrow(whole, "block long, payload binary, blocks array<long>, places array<array<binary>>"), "pairs")
+    del asked
+    release(spark)
+    model: dict = {"theta0": theta[0], "theta1": theta[1]}
 
-    # a bucket is one row, so that no reader splits it
-    held = saved(by_buckets(blocks.mapInArrow(ask_pairs, ASKED)).mapInArrow(whole, "bucket int, blocks array<long>, payloads array<binary>"), "pairs")
-    model: dict = {"V": n_distinct, "theta0": theta[0], "theta1": theta[1], "T": None}
+    def totals(pairs: DataFrame, m: dict, sweeps: int) -> DataFrame:
+        """Answers of the contexts' buckets after ``sweeps``; the sums over all go into the model."""
 
-    def totals(m: dict, sweeps: int) -> None:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in rows_of(batches):
-                bucket, rng = _Bucket(row["payloads"], k), np.random.default_rng([seed, row["bucket"], sweeps])
+                bucket, rng = _Bucket(row["payload"], n, answers_of(row)), np.random.default_rng([seed, row["block"], sweeps])
                 for _ in range(sweeps):
                     bucket.sweep(m, rng)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in bucket.totals(k)], names=["key", "a", "b"])
-
-        rows = held.mapInArrow(run, "key long, a double, b double").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
-        found = {r["key"]: (r["a"], r["b"]) for r in rows}
-        pick = lambda key: found.get(key, (0.0, 0.0))
-        m["T"], m["C"] = (np.array([pick(i)[j] for i in range(k + 1)]) for j in (0, 1))
-        m["root_tables"], m["root_customers"] = pick(-1)
-        if "d1" not in m:
-            m["d1"], m["d0"] = _discount(*pick(-2)), _discount(*pick(-3))
-
-    totals(model, 0)
-    totals(model, burn_in)
+                yield bucket.asked(row["block"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([-1], pa.int32()), pa.array([bucket.sums().tobytes()], pa.binary())], names=["block", "bucket", "payload"])
+
+        asked = saved(pairs.mapInArrow(run, ASKED), "context-totals")
+        rows = asked.where("bucket = -1").select("payload").collect()
+        sums = sum((np.frombuffer(r["payload"], np.int64) for r in rows), np.zeros(8, np.int64)).tolist()
+        if "V" not in m:
+            m["N"], m["V"], m["d1"], m["d0"] = sums[0], sums[1], _discount(*sums[4:6]), _discount(*sums[6:])
+        m["root_tables"], m["root_customers"] = sums[2:4]
+        return answered(asked.where("bucket >= 0"), sum_contexts)
+
+    pairs = held.select("block", "payload")
+    first = totals(pairs.withColumn("answers", F.lit(None).cast("array<struct<bucket: int, answer: binary>>")), model, 0)
+    sent = written[-1]
+    second = totals(with_answers(pairs, first), model, burn_in)
+    del first
+    drop(spark, [sent])
+    release(spark)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            bucket, rng = _Bucket(row["payloads"], k), np.random.default_rng([seed, row["bucket"], 10**6])
+            bucket, rng = _Bucket(row["payload"], n, answers_of(row)), np.random.default_rng([seed, row["block"], 10**6])
             mean = np.zeros(len(bucket.counts))
             for i in range(burn_in + samples):
                 bucket.sweep(model, rng)
                 if i >= burn_in:
                     mean += bucket.predictive(model) / samples
             logs = np.log10(mean).astype(np.float32)
-            words = pairs = 0
-            for block, (n_words, n_pairs) in zip(row["blocks"], bucket.sizes):
-                data = _write([bucket.tokens[bucket.of_asked[words : words + n_words]], logs[bucket.pair_of[pairs : pairs + n_pairs]]])
-                words, pairs = words + n_words, pairs + n_pairs
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([row["bucket"]], pa.int32()), pa.array([data], pa.binary())], names=["block", "bucket", "payload"])
+            for block, data in zip(row["blocks"], row["places"]):
+                words, own = map(_risen, data)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([row["block"]], pa.int32()), pa.array([_write([bucket.tokens[words], logs[own]])], pa.binary())], names=["block", "bucket", "payload"])
 
-    base_total = float(np.log10(n_tokens + n_distinct + 1))
+    n_tokens = model["N"]
+    base_total = float(np.log10(n_tokens + model["V"] + 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             t = _Tokens(row["payload"], folds, held_out)
-            p = _Pairs(t, contexts)
+            p = _Pairs(t)
             order, cuts = by_bucket(p.words, buckets)
             seen, logs = np.zeros(len(p.words), np.int64), np.zeros(len(p.counts))
             for bucket, data in answers_of(row).items():
@@ -287,7 +314,7 @@ def score_texts(
             )
 
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return with_answers(blocks, held.mapInArrow(answer, ASKED)).mapInArrow(score, schema).withColumnRenamed("id", id_col)
+    return with_answers(blocks, with_answers(held, second).mapInArrow(answer, ASKED)).mapInArrow(score, schema).withColumnRenamed("id", id_col)
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

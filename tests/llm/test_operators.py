@@ -222,6 +222,17 @@ def test_language_model(docs):
     assert pitman_yor.score_texts(docs.where("false")).count() == 0
 
 
+def test_a_rare_context_keeps_its_restaurant(spark):
+    """Three occurrences among 400,000 tokens predict what follows as they would in a small corpus."""
+    filler = [(i, prose(10_000)) for i in range(1000, 1050)]
+    rare = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2][:3]
+    asked = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    docs = spark.createDataFrame([*filler, *((i, "rarely seen") for i in (*rare, asked))], "doc_id long, text string")
+    row = pitman_yor.score_texts(docs).where(F.col("doc_id") == asked).first()
+    assert row.held_out and row.n_known == 3 and row.train_tokens > 300_000
+    assert row.score > -4 > row.base_score + 8
+
+
 def test_seating():
     rng = np.random.default_rng(0)
     counts = np.array([0, 1, 2, 50, 5000, 5000])
