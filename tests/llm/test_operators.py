@@ -182,6 +182,30 @@ def test_embedding_dups(vectors):
     assert embedding_dups.near_duplicate_vectors(vectors.where("false")).count() == 0
 
 
+def test_a_link_found_from_one_end_counts_for_both(spark):
+    """Twins in narrow beams without audit: a search from one end often finds what the other's misses."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((1500, 48))
+    y = x + 0.15 * rng.standard_normal(x.shape)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([x, y]))]
+    for shard_rows in (5000, 1000):
+        out = embedding_dups.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), shard_rows=shard_rows, recall=0.0).collect()
+        size = Counter(r.component_id for r in out)
+        assert max(size.values()) == 2
+        assert all(r.n_links == size[r.component_id] - 1 for r in out)
+
+
+def test_audit_leaves_out_the_match_with_itself():
+    """A graph that finds nothing but the query itself is searched more widely."""
+    x = np.random.default_rng(8).standard_normal((600, 16))
+    x[300:] = x[:300] + 1e-3
+    shard = embedding_dups._Shard(np.arange(600), np.ones(600, np.int64), x, 0.98)
+    beam = shard._beam
+    shard._beam = lambda units, width: beam(units, width) if width > 64 else (np.arange(len(units)), shard.graph.search(units, 32)[0][:, 0])
+    shard.links(np.arange(600), x, 0.99, 64, 512, True)
+    assert shard.width > 64
+
+
 def test_hnsw_recall():
     from repolith.llm.hnsw import HNSW
 
