@@ -1,9 +1,12 @@
 """Every query with SQL against DuckDB at sf0.001; the others against what must hold."""
 
 
+import random
+
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from repolith.plans.registry import ORACLES, QUERIES
@@ -55,6 +58,18 @@ def test_cycle_removal(spark):
     assert graph.break_cycles(acyclic, graph.pagerank(acyclic)).where("removed").isEmpty()
 
 
+def test_cycle_removal_is_the_same_at_any_size(spark):
+    from repolith.operators import graph
+
+    rng = random.Random(4)
+    rows = {(g * 100 + rng.randrange(20), g * 100 + rng.randrange(20)) for g in range(5) for _ in range(60)}
+    edges = spark.createDataFrame(sorted(rows), "src long, dst long")
+    ranks = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("rank", F.pmod(F.xxhash64("node"), F.lit(7)).cast("double"))
+    small, large = ({(r.src, r.dst) for r in graph.break_cycles(edges, ranks, most).where("removed").collect()} for most in (1000, 0))
+    assert small == large
+    assert graph.cyclic_core(spark.createDataFrame(sorted(rows - large), "src long, dst long")).isEmpty()
+
+
 def test_levels_with_a_cycle(spark):
     from repolith.operators import graph
 
