@@ -4,18 +4,17 @@ from __future__ import annotations
 
 import atexit
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from repolith.session import ship
+from repolith.session import shared_folder, ship
 
 _RUN = uuid.uuid4().hex
 _cleaned: set[str] = set()
-#: Tables that saved() wrote and drop() has not removed.
+#: Paths of fresh() that drop() has not removed.
 written: list[str] = []
 
 
@@ -24,31 +23,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in a local session, as in tests, one of its own where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if made.isDefined():
-            base = made.get()
-        else:  # a local session, as in tests
-            base = tempfile.mkdtemp(prefix="repolith-")
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/repolith-{_RUN}"
+    return f"{(base or shared_folder(spark)).rstrip('/')}/repolith-{_RUN}"
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts the lineage and is never computed twice.
-
-    The files outlive lost executors; they go when the driver ends.
-    """
-    spark = df.sparkSession
+def fresh(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder. What is written there outlives lost executors and goes when the driver ends."""
     root = shared_dir(spark)
     path = f"{root}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     written.append(path)
     if root not in _cleaned:
         _cleaned.add(root)
         atexit.register(_remove, spark, root)
+    return path
+
+
+def saved(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: cuts the lineage and is never computed twice."""
+    spark = df.sparkSession
+    path = fresh(spark, label)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -16,6 +16,16 @@ _HEAD = struct.Struct("<4sIIIII")
 MAGIC = b"S8B1"
 
 
+def _bits(ids: np.ndarray) -> np.ndarray:
+    """Bits of each id."""
+    out = np.zeros(len(ids), np.uint8)
+    if len(ids) and ids.max() < 1 << 24:  # a float of 32 bits holds these exactly
+        return np.where(ids > 0, (ids.astype(np.float32).view(np.uint32) >> np.uint32(23)).astype(np.int32) - 126, 0).astype(np.uint8)
+    for width in np.unique(WIDTHS[1:]).tolist():  # only these widths matter
+        np.copyto(out, np.uint8(width + 1), where=ids >> np.uint64(width) != 0)
+    return out
+
+
 def pack(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """Any unsigned 64-bit ids; each block of ``block`` ids starts a new word, whose place the block offsets tell."""
     ids = np.asarray(ids, np.uint64)
@@ -23,22 +33,21 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> bytes:
     blocks = -(-n // block)
     padded = np.zeros(blocks * block + 64, np.uint64)
     padded[:n] = ids
-    size = blocks * block
-    at = np.arange(size, dtype=np.int32)
-    ends = np.minimum((at // block + 1) * block, n).astype(np.int32)
-    room = ends - at
-    narrow = padded[:size].astype(np.uint32) if n and ids.max() < 1 << 32 else None
-    best = np.zeros(size, np.int8)
+    # bits of each id, a row per block; what stands past a block's end has none, so that its last word may hold fewer
+    bits = np.zeros((blocks, block + 64), np.uint8)
+    bits[:, :block] = _bits(padded[: blocks * block]).reshape(blocks, block)
+    best = np.zeros((blocks, block), np.int8)
+    widest, span = bits, 1  # the widest of ``span`` ids from each place on
     for selector in range(LAST, 0, -1):  # the last that holds is the one with most ids
-        width, count = int(WIDTHS[selector]), int(COUNTS[selector])
-        if narrow is not None and width < 32:
-            wide = narrow >= 1 << width
-        else:
-            wide = padded[:size] >> np.uint64(width) != 0
-        stop = np.where(wide, at, np.int32(size))
-        stop = np.minimum.accumulate(stop[::-1])[::-1]
-        best[(stop - at >= count) | (stop >= ends)] = selector
+        count = int(COUNTS[selector])
+        while span < count:
+            step = min(span, count - span)
+            widest = np.maximum(widest[:, :-step], widest[:, step:])
+            span += step
+        np.copyto(best, np.int8(selector), where=widest[:, :block] <= WIDTHS[selector])
+    best = best.ravel()
     best[n:] = 0
+    room = (np.minimum((np.arange(blocks) + 1) * block, n)).repeat(block) - np.arange(blocks * block)
     # all blocks step from word to word together
     here = np.arange(blocks, dtype=np.int64) * block
     till = np.minimum(here + block, n)

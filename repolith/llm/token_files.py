@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import simple8b, tokens
-from .common import partitions, shared_dir, table
+from .common import fresh, partitions, table
+from .exchange import rows_of
 
 SHARDS = "part int, before long, n_ids long, doc_ids binary, no_id binary, n_tokens binary, payload binary"
 
 
-def write_token_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, shard_ids: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_token_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, shard_ids: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the ids of every whole text, each with ``end_id`` after it, by ascending id (null first).
 
     Documents are dealt to tasks by ranges of ids; each task encodes its sorted texts as a stream and
@@ -59,10 +59,11 @@ def write_token_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0
     )
 
 
-def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
+def read_token_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids) of every document; start counts the ids of all before it.
 
-    Only one number per writing task comes to the driver: the ids that it wrote.
+    Only one number per writing task comes to the driver: the ids that it wrote. Shards are decoded
+    one at a time. Without ``with_ids`` the ids are decoded and checked, but only their checksum leaves a task.
     """
     shards = spark.read.schema(SHARDS).parquet(path)
     written = {r["part"]: r["n"] for r in shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
@@ -71,25 +72,23 @@ def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
         base[part], total = total, total + written[part]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                lengths = np.frombuffer(row["n_tokens"], "<u8").astype(np.int64)
-                ends = np.cumsum(lengths)
-                ids = simple8b.unpack(row["payload"]).astype("<u4")
-                missing = np.frombuffer(row["no_id"], np.uint8).astype(bool)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.frombuffer(row["doc_ids"], "<i8"), pa.int64(), mask=missing), pa.array(ends - lengths + base[row["part"]] + row["before"]),
-                        pa.array(lengths), pa.array([tokens.checksum(ids[b - n : b]) for b, n in zip(ends.tolist(), lengths.tolist())], pa.int64()), lists,
-                    ],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                )
-
-    return shards.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<long>")
+        for row in rows_of(batches):
+            lengths = np.frombuffer(row["n_tokens"], "<u8").astype(np.int64)
+            ends = np.cumsum(lengths)
+            ids = simple8b.unpack(row["payload"]).astype("<u4")
+            missing = np.frombuffer(row["no_id"], np.uint8).astype(bool)
+            columns = {
+                "doc_id": pa.array(np.frombuffer(row["doc_ids"], "<i8"), pa.int64(), mask=missing), "start": pa.array(ends - lengths + base[row["part"]] + row["before"]), "n_tokens": pa.array(lengths),
+                "ids_crc32": pa.array([tokens.checksum(ids[b - n : b]) for b, n in zip(ends.tolist(), lengths.tolist())], pa.int64()),
+            }
+            if with_ids:
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return shards.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else ""))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    path = fresh(spark, "token-ids")
     write_token_ids(table(spark, sf_dir, "documents"), path, tokens.vocabulary("byte_bpe_50k.json"))
-    return read_token_ids(spark, path).drop("ids")
+    return read_token_ids(spark, path, with_ids=False)

@@ -4,21 +4,33 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 
-from .words import ROWS, flat_texts, mixed, spans
+from .words import ROWS, flat_texts, spans
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x0A]] = True
 _OTHER = np.zeros(256, bool)
 _OTHER[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F]] = True
-#: White space beyond ASCII, in UTF-8.
-_WIDE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+#: White space beyond ASCII. Its UTF-8 bytes as numbers, and the bytes that they begin with.
+_WIDE = np.array([int.from_bytes(chr(c).encode().ljust(3, b"\0"), "big") for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)])
+_LEADS = np.zeros(256, bool)
+_LEADS[_WIDE >> 16] = True
+
+
+def _odd_spaces(own: np.ndarray) -> np.ndarray:
+    """Places of white space other than blanks and line ends."""
+    lead = np.flatnonzero(_LEADS[own])
+    padded = np.append(own, [np.uint8(0)] * 2).astype(np.int64) if len(lead) else own
+    code = (padded[lead] << 16) + (padded[lead + 1] << 8) + np.where(own[lead] == 0xC2, 0, padded[lead + 2]) if len(lead) else lead
+    return np.concatenate([np.flatnonzero(_OTHER[own]), lead[np.isin(code, _WIDE)]])
 
 
 def vocabulary(name: str) -> str:
@@ -77,8 +89,20 @@ class SegmentEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
+        self.sizes = self._token_sizes(json.loads(self.tokenizer.to_str()))
         self._clear()
 
+    def _token_sizes(self, rules: dict) -> np.ndarray | None:
+        """Bytes of text that each id stands for, where the vocabulary is of bytes and nothing changes them; else None."""
+        if rules["normalizer"] or (rules["pre_tokenizer"] or {}).get("type") != "ByteLevel" or rules["pre_tokenizer"].get("add_prefix_space"):
+            return None
+        special = {x["content"] for x in rules["added_tokens"]}
+        known = self.tokenizer.get_vocab()
+        sizes = np.zeros(max(known.values()) + 1, np.int64)
+        for token, i in known.items():
+            sizes[i] = len(token.encode()) if token in special else len(token)
+        return sizes
+
     def _clear(self) -> None:
         self.places = _Places()
         self.flat = np.empty(1 << 16, np.uint32)
@@ -86,10 +110,34 @@ class SegmentEncoder:
         self.lengths = np.empty(1 << 16, np.int32)
         self.used = self.known = 0
 
-    def _learn(self, h: np.ndarray, segments: list[str]) -> None:
-        lists = [x.ids for low in range(0, len(segments), 4096) for x in self.tokenizer.encode_batch_fast(segments[low : low + 4096], add_special_tokens=False)]
+    def _ids(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all segments in turn, how many each has)."""
+        lists = [x.ids for low in range(0, len(segments), 4096) for x in self.tokenizer.encode_batch_fast([x.decode() for x in segments[low : low + 4096]], add_special_tokens=False)]
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.uint32, int(lengths.sum()))
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum())), lengths
+
+    def _joined_ids(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of segments that may stand one after another in a text: a few calls for all, cut by the bytes of each id."""
+        texts = [b"".join(segments[low : low + 256]).decode() for low in range(0, len(segments), 256)]
+        lists = [x.ids for low in range(0, len(texts), 64) for x in self.tokenizer.encode_batch_fast(texts[low : low + 64], add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(lists), np.uint32, sum(map(len, lists)))
+        ends = np.cumsum(np.fromiter(map(len, segments), np.int64, len(segments)))
+        token_ends = np.cumsum(self.sizes[flat])
+        stops = np.searchsorted(token_ends, ends)
+        if len(token_ends) and (int(token_ends[-1]) != int(ends[-1]) or (token_ends[stops] != ends).any()):
+            return self._ids(segments)
+        return flat, np.diff(stops + 1, prepend=0)
+
+    def _learn(self, h: np.ndarray, segments: list[bytes]) -> None:
+        if self.sizes is None:
+            flat, lengths = self._ids(segments)
+        else:
+            # a segment that begins with its blanks and ends with a word may follow any other such
+            joins = np.array([len(x) > 1 and _BLANK[x[0]] and not _BLANK[x[-1]] for x in segments], bool)
+            order = np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)])
+            h, segments, n = h[order], [segments[i] for i in order.tolist()], int(joins.sum())
+            (one, some), (two, more) = self._joined_ids(segments[:n]), self._ids(segments[n:])
+            flat, lengths = np.concatenate([one, two]), np.concatenate([some, more])
         at, n = self.known, len(segments)
         while len(self.flat) < self.used + len(flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
@@ -115,14 +163,8 @@ class SegmentEncoder:
             at = end
 
     def _stretch(self, own: np.ndarray, cuts: np.ndarray) -> Iterator[np.ndarray]:
-        odd = np.flatnonzero(_OTHER[own]).tolist()
         raw = own.tobytes()
-        for space in _WIDE:
-            place = raw.find(space)
-            while place >= 0:
-                odd.append(place)
-                place = raw.find(space, place + 1)
-        whole = set((np.searchsorted(cuts, odd, "right") - 1).tolist())
+        whole = set((np.searchsorted(cuts, _odd_spaces(own), "right") - 1).tolist())
         blank = _BLANK[own]
         first = np.zeros(len(own) + 1, bool)
         first[cuts[:-1]] = True
@@ -147,7 +189,7 @@ class SegmentEncoder:
                 index[:] = -1
                 continue
             place = missing[place]
-            self._learn(new, [raw[a:b].decode() for a, b in zip(starts[place].tolist(), ends[place].tolist())])
+            self._learn(new, [raw[a:b] for a, b in zip(starts[place].tolist(), ends[place].tolist())])
             index[missing] = self.places.find(h[missing])
             break
         lengths = self.lengths[index].astype(np.int64)
