@@ -15,6 +15,9 @@ _shipped: set[str] = set()
 
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the executors once per application, so that Python workers can import it wherever they run."""
+    # texts may be long: batches for Python workers are bounded by bytes, where the session doesn't say otherwise
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         _shipped.add(app)
