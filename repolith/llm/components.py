@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import drop, partitions, saved, written
+from .tokens import trimmed
 
 
 def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,23 +51,35 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(held_a[0], pa.int64()), pa.array(held_b[0], pa.int64())], names=["a", "b"])
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of an edge, component the smallest node it reaches.
+def with_group(df: DataFrame, key: str, *values: Column) -> DataFrame:
+    """``df`` with aggregates of its groups, null keys left out.
 
-    ``edges`` has two long columns, nulls excluded. Each task first reduces its edges to a forest;
+    The aggregates are shuffled once more, so that the join is one of two plain shuffles: AQE splits such a join where a key is hot.
+    """
+    found = df.where(F.col(key).isNotNull()).groupBy(key).agg(*values)
+    return df.join(found.repartition(partitions(df.sparkSession)), key)
+
+
+def connected_components(edges: DataFrame, found: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
+    """(node, component) for every node of an edge, component the smallest node it reaches; no edges give no rows.
+
+    ``edges`` has two long columns, nulls excluded; with ``found`` they are what that makes of its batches. Each task first reduces its edges to a forest;
     then large-star and small-star steps alternate until the edges stop changing. Every round is
     written to the shared folder, so lineage stays short and a lost executor costs a round.
     """
-    a, b = edges.columns[:2]
-    now = saved(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").mapInArrow(_forest, "a long, b long"), "edges")
+    if found is None:
+        a, b = edges.columns[:2]
+        edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
+    spark = edges.sparkSession
+    now = saved(edges.mapInArrow(trimmed(lambda batches: _forest(found(batches) if found else batches)), "a long, b long"), "edges")
     state = None
     while True:
+        old = written[-1]
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        parent = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(parent, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        large = with_group(both, "a", F.least(F.min("b"), F.first("a")).alias("m")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        small = with_group(large, "a", F.min("b").alias("m")).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         now = saved(small, "edges")
+        drop(spark, [old])
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == tuple(seen):
             break

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .common import partitions, saved, table
 from .components import connected_components, local_components
 from .hnsw import HNSW
+from .tokens import trimmed
 from .vectors import matrix, usable
 
 
@@ -184,9 +185,9 @@ def near_duplicate_vectors(
 
     # a vector of a shard has the same place among its nodes and among its queries
     units = stored.unionByName(asking).repartition(partitions(spark), "unit").sortWithinPartitions("unit", "kind", "home", "rep", "same")
-    either = units.mapInArrow(run, "base long, low long, high long, turned boolean, within boolean, asking binary, nodes binary, links binary")
+    either = units.mapInArrow(trimmed(run), "base long, low long, high long, turned boolean, within boolean, asking binary, nodes binary, links binary")
     pairs = either.groupBy("base", "low", "high").agg(F.collect_list(F.struct("turned", "within", "asking", "nodes", "links")).alias("found"))
-    found = saved(pairs.select("found").mapInArrow(credited, "a long, b long, linked long"), "links")
+    found = saved(pairs.select("found").mapInArrow(trimmed(credited), "a long, b long, linked long"), "links")
     linked = found.where("a = b").groupBy("a").agg(F.sum("linked").alias("linked"))
     components = connected_components(found.where("a <> b").select("a", "b"))
     told = (

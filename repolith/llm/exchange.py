@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import groups, partitions, saved
-from .tokens import tidy
+from .tokens import tidy, trimmed
 
 ASKED = "block long, bucket int, payload binary"
 
@@ -26,7 +26,6 @@ def make_blocks(docs: DataFrame, id_col: str, text_col: str, size: int = 4 << 20
     """(block, payload): documents in blocks of about ``size`` bytes of text, written once, so that a block never changes; ``more`` columns go with them."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tidy()
         part, n, held, held_size = TaskContext.get().partitionId(), 0, [], 0
 
         def block() -> pa.RecordBatch:
@@ -52,7 +51,7 @@ def make_blocks(docs: DataFrame, id_col: str, text_col: str, size: int = 4 << 20
         if held:
             yield block()
 
-    return saved(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"more_{i}") for i, c in enumerate(more))).mapInArrow(gather, "block long, payload binary"), "blocks")
+    return saved(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"more_{i}") for i, c in enumerate(more))).mapInArrow(trimmed(gather), "block long, payload binary"), "blocks")
 
 
 def open_block(payload: bytes) -> tuple[pa.Array, ...]:
@@ -78,7 +77,6 @@ def answered(asked: DataFrame, answer: Callable[[int, list[bytes]], list[bytes]]
     """``answer`` gets a bucket's number and the payloads of all blocks, and returns one payload for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tidy()
         for bucket in groups(batches, "bucket"):
             out = answer(bucket["bucket"][0].as_py(), bucket["payload"].to_pylist())
             blocks, number = bucket["block"].combine_chunks(), bucket["bucket"].combine_chunks()
@@ -86,7 +84,7 @@ def answered(asked: DataFrame, answer: Callable[[int, list[bytes]], list[bytes]]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.concat_arrays(x.chunks) for x in (blocks.slice(low, 256), number.slice(low, 256))] + [pa.array(out[low : low + 256], pa.binary())], names=["block", "bucket", "payload"])
 
     n = partitions(asked.sparkSession)
-    return asked.repartition(n, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, ASKED)
+    return asked.repartition(n, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(trimmed(run), ASKED)
 
 
 def with_answers(blocks: DataFrame, answers: DataFrame) -> DataFrame:

@@ -97,13 +97,16 @@ class GatedNetwork:
 
 
 class Adam:
-    def __init__(self, rate: float) -> None:
-        self.rate, self.t, self.state = rate, 0, {}
+    """With ``sparse``, rows whose gradient is zero stay as they are."""
+
+    def __init__(self, rate: float, sparse: bool = False) -> None:
+        self.rate, self.sparse, self.t, self.state = rate, sparse, 0, {}
 
     def step(self, params: dict[str, np.ndarray], grads: dict[str, np.ndarray]) -> None:
         self.t += 1
         for name, g in grads.items():
             m, v = self.state.setdefault(name, (np.zeros_like(params[name]), np.zeros_like(params[name])))
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            params[name] -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
+            own = np.flatnonzero(g.any(axis=1)) if self.sparse else ...
+            m[own] += 0.1 * (g[own] - m[own])
+            v[own] += 0.001 * (g[own] * g[own] - v[own])
+            params[name][own] -= self.rate * (m[own] / (1 - 0.9**self.t)) / (np.sqrt(v[own] / (1 - 0.999**self.t)) + 1e-8)

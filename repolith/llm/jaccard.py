@@ -8,12 +8,12 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import groups, partitions, saved, table
-from .components import connected_components, local_components
-from .tokens import tidy
+from .components import connected_components, local_components, with_group
+from .tokens import trimmed
 from .words import hashed, mixed, windows
 
 BANDS, ROWS = 25, 5
@@ -52,23 +52,47 @@ def least_matches(n: int, similarity: float, tolerance: float) -> int:
     return n + 1
 
 
-def survivors(left: np.ndarray, right: np.ndarray | None, similarity: float, tolerance: float, step: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows that the posterior never gives up; within ``left`` if right is None."""
-    if right is None:
-        i, j = np.triu_indices(len(left), 1)
-        right = left
-    else:
-        i, j = (x.ravel() for x in np.indices((len(left), len(right))))
-    matches = np.zeros(len(i), np.int32)
-    for n in range(0, HASHES, step):
-        matches += (left[i, n : n + step] == right[j, n : n + step]).sum(axis=1)
-        ok = matches >= least_matches(n + step, similarity, tolerance)
-        i, j, matches = i[ok], j[ok], matches[ok]
-    return i, j
+def survivors(left: np.ndarray, right: np.ndarray | None, similarity: float, tolerance: float, step: int = 25, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that the posterior never gives up; within ``left`` if right is None. ``most`` pairs are held at a time."""
+    other = left if right is None else right
+    columns = np.ascontiguousarray(other.T)
+    least = {n: least_matches(n, similarity, tolerance) for n in range(step, HASHES + 1, step)}
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    slab = max(1, most // max(1, len(other)))
+    for low in range(0, len(left), slab):
+        own = left[low : low + slab]
+        live = np.ones((len(own), len(other)), bool)
+        if right is None:
+            live = np.triu(live, low + 1)
+        matches, i, j = np.zeros(live.shape, np.uint8), None, None
+        for n in least:
+            values = range(n - step, n)
+            if i is None:
+                for v in values:
+                    matches += own[:, v, None] == columns[v]
+                live &= matches >= least[n]
+                if 8 * np.count_nonzero(live) < live.size:  # the rest one by one
+                    i, j = np.nonzero(live)
+                    matches = matches[i, j]
+            elif len(i):
+                matches = matches + (own[i, n - step : n] == other[j, n - step : n]).sum(axis=1, dtype=np.uint8)
+                ok = matches >= least[n]
+                i, j, matches = i[ok], j[ok], matches[ok]
+        if i is None:
+            i, j = np.nonzero(live)
+        out.append((i + low, j))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 2
+
+
+def shared_shingles(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of left[i] with right[j]: a pair at a time, or where most pairs are asked for by a matrix product."""
+    if 64 * len(i) < len(left) * len(right):
+        return np.array([len(np.intersect1d(left[a], right[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist())], np.int64)
+    return intersections(left + right, len(left))[i, j]
 
 
 def intersections(sets: list[np.ndarray], split: int, columns: int = 4096) -> np.ndarray:
-    """Sizes of intersections of sets[:split] with sets[split:] (all with all if split is len)."""
+    """Sizes of intersections of sets[:split] with sets[split:]."""
     flat = np.concatenate(sets)
     row = np.repeat(np.arange(len(sets)), list(map(len, sets)))
     _, index, counts = np.unique(flat, return_inverse=True, return_counts=True)
@@ -78,7 +102,7 @@ def intersections(sets: list[np.ndarray], split: int, columns: int = 4096) -> np
     order = np.argsort(index, kind="stable")
     row, index = row[order], index[order]
     n = len(sets)
-    right = slice(split, n) if split < n else slice(0, n)
+    right = slice(split, n)
     out = np.zeros((split, right.stop - right.start), np.float32)
     top = int(index[-1]) + 1 if len(index) else 0
     for low in range(0, top, columns):
@@ -93,16 +117,15 @@ def _table(columns: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def _in_blocks(members: DataFrame, key: str, block: int) -> DataFrame:
-    """Members of a key, dealt to units that hold two blocks of ``block`` rows each: every pair of a key meets in one unit."""
-    rows = members.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy("node")) - 1)
-    rows = rows.withColumn("own", F.expr(f"nth div {block}")).withColumn("other", F.explode(F.expr(f"sequence(0L, (n - 1) div {block})")))
+def _in_blocks(members: DataFrame, key: str) -> DataFrame:
+    """Members of a key, dealt by hash to its ``blocks``: every pair of a key meets in one unit, of one block or two (cross)."""
+    rows = members.withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    return rows.withColumn("unit", F.xxhash64(key, low, high)).withColumn("side", (F.col("own") > F.col("other")).cast("int"))
+    return rows.withColumn("unit", F.xxhash64(key, low, high)).withColumn("side", (F.col("own") > F.col("other")).cast("int")).withColumn("cross", F.col("own") != F.col("other"))
 
 
 def jaccard_join(
-    docs: DataFrame, similarity: float = 0.8, k: int = 5, tolerance: float = 1e-5, block: int = 512, block_exact: int = 256, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, similarity: float = 0.8, k: int = 5, tolerance: float = 1e-5, block: int = 256, block_exact: int = 1024, block_words: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Links between texts whose sets of word k-grams have a Jaccard similarity of ``similarity`` or more.
 
@@ -110,20 +133,22 @@ def jaccard_join(
     count. Classes whose MinHash values agree on a band of ROWS are candidates (at 0.8, a pair meets
     in none of the BANDS with a chance of 5e-5). Members of a bucket are compared in blocks, value by
     value: a pair goes when its posterior chance of reaching the similarity falls below
-    ``tolerance``. What survives forms groups, and in each group all pairs of blocks are verified
-    exactly by counting shared shingles in a matrix product. Only counts and a forest of each block
+    ``tolerance``. What survives forms groups. A group is dealt by hash to blocks of about
+    ``block_exact`` rows and ``block_words`` words; for each two blocks the pairs that survive the
+    same test are verified exactly by their shared shingles. Only counts and a forest of each block
     leave a task, so a large group gives rows in proportion to its members.
 
     One row per input row: id, n_links (other rows linked), class_id (smallest id reachable by
     links), kept (the first row of its class by id). Null texts and texts without words link with
-    nothing; a text of fewer than k words links with its copies only; a null id is least known: it is
-    never a class id unless alone. Repeated rows count each. Other columns are ignored.
+    nothing and are kept; a text of fewer than k words links with its copies only. A null id comes
+    after all others: it is kept only in a class without ids, and rows that share an id are kept or
+    not together, so give rows ids of their own where that matters. Repeated rows count each; an
+    empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     n = partitions(spark)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tidy()
         for batch in batches:
             for at, counts, h, *_ in hashed(batch.column(1), lower=True):
                 ends = np.cumsum(counts)
@@ -136,11 +161,17 @@ def jaccard_join(
                     for i, row in zip(full, rows):
                         nodes[i] = xxhash.xxh3_64_intdigest(texts[i].tobytes()) - (1 << 63)
                         values[i] = row.tobytes()
-                yield _table({"id": batch.column(0).slice(at, len(texts)), "node": pa.array(nodes, pa.int64()), "values": pa.array(values, pa.binary())})
-
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = saved(plain.mapInArrow(sign, "id long, node long, values binary"), "signed")
-    classes = saved(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("values").alias("values")), "classes")
+                yield _table({"id": batch.column(0).slice(at, len(texts)), "digest": batch.column(2).slice(at, len(texts)), "node": pa.array(nodes, pa.int64()), "words": pa.array(counts, pa.int64()), "values": pa.array(values, pa.binary())})
+
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"))
+    signed = saved(plain.mapInArrow(trimmed(sign), "id long, digest long, node long, words long, values binary"), "signed")
+    # of equal rows any will do: the text of the least id, or of any row if no copy has an id
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "digest")).alias("rep")
+    classes = saved(
+        signed.where("node IS NOT NULL").groupBy("node").agg(first, F.count(F.lit(1)).alias("copies"), F.first("words").alias("words"), F.first("values").alias("values"))
+        .select("node", "rep.id", "rep.digest", "copies", "words", "values").withColumnRenamed("id", "rep"),
+        "classes",
+    )
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,71 +184,78 @@ def jaccard_join(
             nodes = batch.column(0).to_numpy()
             yield _table({"key": pa.array(key.ravel().astype(np.int64)), "node": pa.array(np.repeat(nodes, BANDS))})
 
-    bands = saved(classes.select("node", "values").mapInArrow(band, "key long, node long"), "bands")
+    bands = saved(classes.select("node", "values").mapInArrow(trimmed(band), "key long, node long"), "bands")
     buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("y")).where("n > 1")
     distinct = buckets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
-    units = _in_blocks(bands.join(distinct, "key"), "key", block).select("unit", "side", "node").join(classes.select("node", "values"), "node")
+    distinct = distinct.withColumn("blocks", F.expr(f"(n + {block - 1}) div {block}"))
+    units = _in_blocks(bands.join(distinct, "key"), "key").select("unit", "side", "cross", "node").join(classes.select("node", "values"), "node")
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tidy()
         for unit in groups(batches, "unit"):
             nodes, sides = unit["node"].to_numpy(), unit["side"].to_numpy()
             values = np.frombuffer(b"".join(unit["values"].to_pylist()), np.uint32).reshape(len(nodes), HASHES)
             left, right = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
-            i, j = survivors(values[left], values[right] if len(right) else None, similarity, tolerance)
+            cross = unit["cross"][0].as_py()
+            i, j = survivors(values[left], values[right] if cross else None, similarity, tolerance)
             if len(i):
-                a, b = local_components(nodes[left][i], nodes[right if len(right) else left][j])
+                a, b = local_components(nodes[left][i], nodes[right if cross else left][j])
                 yield _table({"a": pa.array(a[a != b]), "b": pa.array(b[a != b])})
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(n, "unit").sortWithinPartitions("unit")
 
-    near = connected_components(dealt(units.select("unit", "side", "node", "values")).mapInArrow(prune, "a long, b long"))
-    near = saved(near.withColumnRenamed("component", "near"), "near")
-    sizes = near.groupBy("near").agg(F.count(F.lit(1)).alias("n"))
-    members = _in_blocks(near.join(sizes, "near"), "near", block_exact).select("unit", "side", "node").join(classes.select("node", "rep", "copies"), "node")
-    texts = members.join(plain, F.col("rep").eqNullSafe(F.col("id"))).select("unit", "side", "node", "copies", "text")
+    near = connected_components(dealt(units.select("unit", "side", "cross", "node", "values")), trimmed(prune))
+    near = saved(near.withColumnRenamed("component", "near").join(classes.select("node", "rep", "digest", "copies", "words"), "node"), "near")
+    blocks = F.expr(f"greatest((count(1) + {block_exact - 1}) div {block_exact}, (sum(words) + {block_words - 1}) div {block_words})").alias("blocks")
+    members = _in_blocks(with_group(near, "near", blocks), "near").select("unit", "side", "cross", "node", "rep", "digest", "copies")
+    nameless = plain.where("id IS NULL").groupBy("digest").agg(F.first("text").alias("text")).select(F.lit(None).cast("long").alias("id"), "text", "digest")
+    sources = plain.where("id IS NOT NULL").unionByName(nameless)
+    texts = members.join(sources.alias("t"), (members["digest"] == F.col("t.digest")) & F.col("rep").eqNullSafe(F.col("id")))
+    texts = texts.join(classes.select(F.col("node").alias("of"), "values"), F.col("node") == F.col("of")).select("unit", "side", "cross", "node", "copies", "values", "text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tidy()
         for unit in groups(batches, "unit"):
-            nodes, sides, copies, sets = [], [], [], []
+            nodes, sides, copies, sets, values = [], [], [], [], []
             seen = set()
             for at, counts, h, *_ in hashed(unit["text"], lower=True):
                 ends = np.cumsum(counts)
                 for r, (e, c) in enumerate(zip(ends.tolist(), counts.tolist()), at):
                     node = unit["node"][r].as_py()
                     own = h[e - c : e]
-                    # rows of one id with another text are not this class
+                    # repeated rows of one id
                     if node in seen or xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63) != node:
                         continue
                     seen.add(node)
                     nodes.append(node)
                     sides.append(unit["side"][r].as_py())
                     copies.append(unit["copies"][r].as_py())
+                    values.append(unit["values"][r].as_py())
                     sets.append(np.unique(shingles(own, k)))
-            order = np.argsort(np.array(sides), kind="stable")
-            names, weights = np.array(nodes, np.int64)[order], np.array(copies, np.int64)[order]
-            sets = [sets[i] for i in order]
-            split = len(sides) - sum(sides)
-            if not split:
+            names, weights, sides = np.array(nodes, np.int64), np.array(copies, np.int64), np.array(sides, np.int64)
+            signs = np.frombuffer(b"".join(values), np.uint32).reshape(len(nodes), HASHES)
+            cross = unit["cross"][0].as_py()
+            left = np.flatnonzero(sides == 0)
+            right = np.flatnonzero(sides == 1) if cross else left
+            i, j = survivors(signs[left], signs[right] if cross else None, similarity, tolerance)
+            if not len(i):
                 continue
-            shared = intersections(sets, split)
+            shared = shared_shingles([sets[x] for x in left.tolist()], [sets[x] for x in right.tolist()], i, j)
+            i, j = left[i], right[j]
             lengths = np.array(list(map(len, sets)))
-            cross = split < len(sets)
-            other = slice(split, None) if cross else slice(None)
-            linked = shared / np.maximum(lengths[:split, None] + lengths[other] - shared, 1) >= similarity
-            if not cross:
-                np.fill_diagonal(linked, False)
-            totals = np.concatenate([linked @ weights[other], linked.T @ weights[:split]]) if cross else linked @ weights
-            yield _table({"a": pa.array(names), "b": pa.nulls(len(names), pa.int64()), "links": pa.array(totals.astype(np.int64))})
-            i, j = np.nonzero(linked)
-            if len(i):
-                a, b = local_components(names[:split][i], names[other][j])
-                a, b = a[a != b], b[a != b]
-                yield _table({"a": pa.array(a), "b": pa.array(b), "links": pa.nulls(len(a), pa.int64())})
-
-    found = saved(dealt(texts).mapInArrow(verify, "a long, b long, links long"), "verified")
+            linked = shared / np.maximum(lengths[i] + lengths[j] - shared, 1) >= similarity
+            i, j = i[linked], j[linked]
+            if not len(i):
+                continue
+            totals = np.bincount(i, weights=weights[j], minlength=len(names)) + np.bincount(j, weights=weights[i], minlength=len(names))
+            some = np.flatnonzero(totals)
+            a, b = local_components(names[i], names[j])
+            a, b = a[a != b], b[a != b]
+            yield _table({
+                "a": pa.array(np.concatenate([names[some], a])), "b": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(b)]),
+                "links": pa.concat_arrays([pa.array(totals[some].astype(np.int64)), pa.nulls(len(a), pa.int64())]),
+            })
+
+    found = saved(dealt(texts).mapInArrow(trimmed(verify), "a long, b long, links long"), "verified")
     links = found.where("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("b IS NOT NULL").select("a", "b"))
     known = saved(
@@ -225,11 +263,10 @@ def jaccard_join(
         .select("node", "rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component")),
         "known",
     )
-    first = known.groupBy("component").agg(F.min("rep").alias("class_id"))
-    told = known.join(first, "component").select("node", "n_links", "class_id")
+    told = with_group(known, "component", F.min("rep").alias("class_id")).select("node", "n_links", "class_id")
     return signed.select("id", "node").join(told, "node", "left").select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "id").alias("class_id"),
-        F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"),
+        F.coalesce(F.col("id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"),
     )
 
 

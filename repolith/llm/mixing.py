@@ -83,6 +83,7 @@ def mix_sources(
     limit: int = 2,
     slots: int = 1 << 20,
     block_words: tuple[int, int] = (16, 4096),
+    row_col: str | None = None,
 ) -> DataFrame:
     """How many words a mix by target weights takes of each document.
 
@@ -93,15 +94,17 @@ def mix_sources(
     of the md5), then over those digits, so that a source with most of the rows is no single task.
 
     One row per input row: id, source, size, source_size, target, taken, and taken_first,
-    taken_again (first and later passes). Null text and text without words have size 0 and take 0;
+    taken_again (first and later passes), then ``row_col`` if that is given, a column of distinct
+    longs that tells rows with equal ids apart. Null text and text without words have size 0 and take 0;
     a null source is one source, the last; repeated rows count each; an empty table gives no rows;
     other columns are ignored. Documents of one source with equal ids follow each other by size.
     """
     spark = docs.sparkSession
+    row = F.col(row_col).cast("long") if row_col else F.lit(None).cast("long")
     digest = F.md5(F.concat_ws("#", F.lit("mix"), F.col(id_col).cast("string")))
     sizes = saved(
         docs.select(
-            F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
+            F.col(id_col).alias("id"), row.alias("row"), F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), digest.alias("digest"),
         ),
         "mix-sizes",
@@ -109,7 +112,7 @@ def mix_sources(
     sources = saved(source_targets(sizes, weights, share, limit), "mix-sources")
     total = sources.agg(F.sum(F.round("target").cast("long"))).first()[0] or 0
     block = max(block_words[0], min(block_words[1], total // slots + 1))
-    by_digits = Window.partitionBy("source", "digits").orderBy("digest", "id", "size")
+    by_digits = Window.partitionBy("source", "digits").orderBy("digest", "id", "size", "row")
     placed = (
         sizes.withColumn("digits", F.substring("digest", 1, 3))
         .withColumn("nth", F.row_number().over(by_digits))
@@ -126,7 +129,7 @@ def mix_sources(
     )
     rows = (
         placed.join(offsets, same(placed, offsets) & (placed["digits"] == offsets["digits"]))
-        .select("id", placed["source"], "size", "source_size", "target", "sid", placed["digits"], "nth", (F.col("before") + F.col("run")).alias("start"))
+        .select("id", "row", placed["source"], "size", "source_size", "target", "sid", placed["digits"], "nth", (F.col("before") + F.col("run")).alias("start"))
     )
     blocks = F.expr(f"(source_size + {block - 1}) div {block}")
     pieces = (
@@ -142,9 +145,9 @@ def mix_sources(
         pieces = pieces.withColumn("chosen", F.lit(None).cast("boolean"))
     words: Column = F.when(F.col("chosen"), F.col("words")).otherwise(F.lit(0))
     return (
-        pieces.groupBy("sid", "digits", "nth", "id", "source", "size", "source_size", "target")
+        pieces.groupBy("sid", "digits", "nth", "id", "row", "source", "size", "source_size", "target")
         .agg(F.sum(F.when(F.col("pass") == 0, words).otherwise(0)).alias("taken_first"), F.sum(F.when(F.col("pass") > 0, words).otherwise(0)).alias("taken_again"))
-        .select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("taken_first") + F.col("taken_again")).alias("taken"), "taken_first", "taken_again")
+        .select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("taken_first") + F.col("taken_again")).alias("taken"), "taken_first", "taken_again", *([F.col("row").alias(row_col)] if row_col else []))
     )
 
 

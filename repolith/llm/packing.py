@@ -125,7 +125,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, id_
             )
 
     schema = "id long, piece int, start long, length long, ids_crc32 long"
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tokens.trimmed(cut, vocabulary), schema)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, shard_rows: int = 40_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -166,7 +166,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
                 np.add.at(steps, hit, 1)
                 np.add.at(steps, hit + window, -1)
                 stays = np.flatnonzero(np.cumsum(steps[:n]) == 0)
-                whole = text.data.tobytes()[int(text.starts[0]) : int(text.ends[-1])] if n == len(stays) and n else b""
+                whole = text.data[int(text.starts[0]) : int(text.ends[-1])].tobytes() if n == len(stays) and n else b""
                 words = whole.split() if whole else [text.data[a:b].tobytes() for a, b in zip(text.starts[stays].tolist(), text.ends[stays].tolist())]
                 lengths.append(n)
                 removed.append(n - len(stays))
@@ -179,8 +179,9 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
             )
 
     repeated = answered(blocks.mapInArrow(ask_anchors, ASKED), _repeats(1))
-    kinds = "".join(f", more_{i} {docs.select(c).dtypes[0][1]}" for i, c in enumerate(more))
-    schema = f"id long, n_words long, n_removed long, kept_sha256 string, kept string{kinds}"
+    schema = docs.sparkSession.createDataFrame([], "id long, n_words long, n_removed long, kept_sha256 string, kept string").schema
+    for i, c in enumerate(more):
+        schema = schema.add(f"more_{i}", docs.schema[c].dataType)
     repeated = saved(repeated, "anchors")
     once = with_answers(blocks, repeated)
     again = answered(once.mapInArrow(ask_windows, ASKED), _repeats(2))

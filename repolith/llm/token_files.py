@@ -55,7 +55,7 @@ def write_token_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0
     (
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         .repartitionByRange(partitions(docs.sparkSession), "id").sortWithinPartitions("id", "text")
-        .mapInArrow(encode, SHARDS).write.parquet(path)
+        .mapInArrow(tokens.trimmed(encode, vocabulary), SHARDS).write.parquet(path)
     )
 
 

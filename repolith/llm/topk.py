@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, saved, table
+from .tokens import trimmed
 from .vectors import matrix, usable
 
 
@@ -125,7 +126,7 @@ def _search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     none = F.lit(None).cast("long")
     both = vectors.select("shard", F.lit(0).alias("kind"), "id", "v", none.alias("floor")).unionByName(queries.select("shard", F.lit(1).alias("kind"), "id", "v", F.col("floor").cast("long")))
-    return both.repartition(partitions(both.sparkSession), "shard").sortWithinPartitions("shard", "kind", "id").mapInArrow(run, "query_id long, vec_id long, score long")
+    return both.repartition(partitions(both.sparkSession), "shard").sortWithinPartitions("shard", "kind", "id").mapInArrow(trimmed(run), "query_id long, vec_id long, score long")
 
 
 def top_k(vectors: DataFrame, chosen: Column, k: int = 10, shard_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .gated import Adam, GatedNetwork
-from .tokens import _Places, tidy
+from .tokens import _Places, trimmed
 from .words import byte_grams, hashed
 
 GRAM = 5
@@ -63,17 +63,28 @@ class ToxicityModel:
             known = place >= 0
             yield _Stretch(counts, self.word_places.find(h) + 1, of[known], place[known])
 
-    def _inputs(self, s: _Stretch) -> np.ndarray:
-        """A row for each word, and an empty one for what stands past a text's end."""
-        n = len(s.words)
+    def _inputs(self, s: _Stretch, own: np.ndarray | None = None) -> np.ndarray:
+        """A row for each word, or for the words at ``own``, and an empty one for what stands past a text's end."""
+        words, gram_of, grams = self._features(s, own)
+        n = len(words)
         out = np.zeros((n + 1, self.word_size + self.gram_size), np.float32)
-        out[:n, : self.word_size] = self.words[s.words]
-        if len(s.grams):
-            shares = np.bincount(s.gram_of, minlength=n)
+        out[:n, : self.word_size] = self.words[words]
+        if len(grams):
+            shares = np.bincount(gram_of, minlength=n)
             for j in range(self.gram_size):
-                out[:n, self.word_size + j] = np.bincount(s.gram_of, weights=self.grams[s.grams, j], minlength=n) / np.maximum(shares, 1)
+                out[:n, self.word_size + j] = np.bincount(gram_of, weights=self.grams[grams, j], minlength=n) / np.maximum(shares, 1)
         return out
 
+    @staticmethod
+    def _features(s: _Stretch, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of the word table, and rows of the gram table with the word that each belongs to."""
+        if own is None:
+            return s.words, s.gram_of, s.grams
+        low, high = np.searchsorted(s.gram_of, own), np.searchsorted(s.gram_of, own, "right")
+        each = high - low
+        places = np.arange(int(each.sum())) + np.repeat(low - np.cumsum(each) + each, each)
+        return s.words[own], np.repeat(np.arange(len(own)), each), s.grams[places]
+
     def _windows(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places of the words of every window, -1 past the end; text of each window)."""
         each = np.maximum(1, -(-(counts - self.window) // self.stride) + 1)
@@ -96,9 +107,9 @@ class ToxicityModel:
 
     def _leans(self, s: _Stretch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows with the sums of their words' evidence instead of logits."""
-        x = self._inputs(s)
         places, of = self._windows(s.counts)
-        return (x[:, 0] + x[:, self.word_size])[places].sum(axis=1), places, of
+        of_grams = np.bincount(s.gram_of, weights=self.gram_lean[s.grams], minlength=len(s.words)) / np.maximum(1, np.bincount(s.gram_of, minlength=len(s.words)))
+        return np.append(self.word_lean[s.words] + of_grams, 0)[places].sum(axis=1), places, of
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         out = []
@@ -111,7 +122,7 @@ class ToxicityModel:
 
     # training
 
-    def fit(self, texts: list[str | None], labels: list[int], steps: int = 300, batch: int = 64, rate: float = 0.01, natural: float | None = None) -> "ToxicityModel":
+    def fit(self, texts: list[str | None], labels: list[int], steps: int = 300, batch: int = 64, rate: float = 0.01, table_rate: float = 0.02, dropped: float = 0.2, natural: float | None = None) -> "ToxicityModel":
         """Learns from labelled texts: each epoch takes the worst window of every text, and any other of clean ones."""
         y = np.array(labels, np.float32)
         rng = np.random.default_rng(self.seed)
@@ -123,24 +134,24 @@ class ToxicityModel:
             gram_stops = np.searchsorted(of, stops)
             words += np.split(h, stops[:-1])
             grams += np.split(g, gram_stops[:-1])
+        # evidence chooses the features and the first windows to learn from; it is no input
         self.word_places, lean = self._vocabulary(words, y, 3, 0)
+        self.word_lean = np.append(np.float32(0), lean)
         self.words = np.concatenate([np.zeros((1, self.word_size)), rng.standard_normal((len(lean), self.word_size)) * 0.05]).astype(np.float32)
-        self.words[1:, 0] = lean
         self.gram_places, lean = self._vocabulary(grams, y, 4, 0.3)
+        self.gram_lean = np.append(lean, np.float32(0))[: max(1, len(lean))]
         self.grams = (rng.standard_normal((max(1, len(lean)), self.gram_size)) * 0.05).astype(np.float32)
-        self.grams[: len(lean), 0] = lean
         self.net, self.shift = GatedNetwork(self.word_size + self.gram_size, seed=self.seed), 0.0
         if not len(y):
             return self
         stretches = list(self._stretches(column))
         firsts = np.cumsum([0, *(len(s.counts) for s in stretches)])
-        adam, done, epoch = Adam(rate), 0, 0
+        adam, tables, done, rated_at = Adam(rate), (Adam(table_rate, sparse=True), Adam(table_rate, sparse=True)), 0, None
         while done < steps:
-            # which windows speak for their texts: by evidence at first, then every other epoch by the network
-            again = epoch % 2 == 1 or epoch == 0
-            epoch += 1
-            if again:
-                rated = [self._logits(s) if epoch > 1 else self._leans(s) for s in stretches]
+            # which windows speak for their texts: by evidence at first, then by the network, six times in all
+            if rated_at is None or done - rated_at >= steps / 6:
+                rated = [self._leans(s) if rated_at is None else self._logits(s) for s in stretches]
+                rated_at = done
             picked: list[tuple[int, np.ndarray, float]] = []
             for at, s in enumerate(stretches):
                 logits, places, of = rated[at]
@@ -163,27 +174,35 @@ class ToxicityModel:
                     places = np.array([p for p, _ in own[low : low + batch]])
                     target = np.array([t for _, t in own[low : low + batch]], np.float32)
                     mask = (places >= 0).astype(np.float32)
-                    x_all = self._inputs(s)
-                    x = x_all[places]
+                    used = np.unique(places[places >= 0])
+                    at_used = np.where(places >= 0, np.searchsorted(used, places), len(used))
+                    # a fifth of the words are left out of a step, so that no single one decides
+                    at_used[rng.random(at_used.shape) < dropped] = len(used)
+                    x = self._inputs(s, used)[at_used]
                     keep: dict = {}
                     logit = self.net.forward(self.net.project(x), mask, keep)
                     d = (1 / (1 + np.exp(-logit)) - target) * np.array([weight[t] for t in target.tolist()], np.float32) / len(target)
                     grad, d_x = self.net.backward(x, keep, d.astype(np.float32))
                     adam.step(self.net.p, grad)
-                    self._tune(s, places, mask, d_x, rate)
+                    self._tune(s, used, at_used, d_x, tables)
                     done += 1
         logits = np.concatenate([np.maximum.reduceat(l, np.searchsorted(of, np.arange(len(s.counts)))) for s in stretches for l, _, of in [self._logits(s)]])
         self.shift = self._threshold(logits.astype(np.float64), y, natural)
         return self
 
-    def _tune(self, s: _Stretch, places: np.ndarray, mask: np.ndarray, d_x: np.ndarray, rate: float) -> None:
-        """A plain gradient step on the rows of the word table; row 0, unknown words, stays zero."""
-        own = mask > 0
-        rows = s.words[places[own]]
+    def _tune(self, s: _Stretch, used: np.ndarray, at_used: np.ndarray, d_x: np.ndarray, tables: tuple[Adam, Adam]) -> None:
+        """A step on the rows of both tables that a batch used; row 0 of the words, unknown ones, stays zero."""
+        of_words = np.zeros((len(used) + 1, d_x.shape[2]), np.float32)
+        np.add.at(of_words, at_used.ravel(), d_x.reshape(-1, d_x.shape[2]))
+        words, gram_of, grams = self._features(s, used)
         step = np.zeros_like(self.words)
-        np.add.at(step, rows, d_x[own][:, : self.word_size])
+        np.add.at(step, words, of_words[:-1, : self.word_size])
         step[0] = 0
-        self.words -= 10 * rate * np.clip(step, -0.1, 0.1)
+        tables[0].step({"words": self.words}, {"words": step})
+        if len(grams):
+            step = np.zeros_like(self.grams)
+            np.add.at(step, grams, (of_words[:-1, self.word_size :] / np.maximum(1, np.bincount(gram_of, minlength=len(used)))[:, None])[gram_of])
+            tables[1].step({"grams": self.grams}, {"grams": step})
 
     @staticmethod
     def _threshold(logits: np.ndarray, y: np.ndarray, natural: float | None) -> float:
@@ -204,8 +223,13 @@ def fold(id_col: str, n: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 800, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
-    """Fits the model on at most ``sample`` labelled texts of either label, by md5 of the id, none of fold 0."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = 800, longest: int = 1 << 17, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+    """Fits the model on at most ``sample`` labelled texts of either label, by md5 of the id, of at most ``longest`` bytes, none of fold 0.
+
+    Labels other than 0 and 1 and null ids don't count; of several labels of an id the largest does;
+    null and empty texts train as empty ones, repeated rows each. Without labelled texts, or with an
+    empty table, the model is an untrained network that predicts 0 throughout.
+    """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (fold(id_col, folds) != 0)).groupBy(id_col).agg(F.max(label_col).alias("label"))
     shares = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     mark = F.md5(F.concat(F.lit("toxic"), F.col(id_col).cast("string")))
@@ -214,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 800, folds: int = 5,
         part = known.where(F.col("label") == label).withColumn("mark", mark).orderBy("mark").limit(sample)
         chosen = part if chosen is None else chosen.unionAll(part)
     # at most 2 * sample rows, hence broadcast
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(chosen.select(id_col, "label", "mark")), id_col).select("mark", "text", "label").collect()
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest).join(F.broadcast(chosen.select(id_col, "label", "mark")), id_col).select("mark", "text", "label").collect()
     rows.sort(key=lambda r: (r["mark"], r["text"] or ""))
     total = sum(shares.values())
     return ToxicityModel().fit([r["text"] for r in rows], [r["label"] for r in rows], natural=shares.get(1, 0) / total if total else None)
@@ -229,13 +253,12 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tidy()
         for batch in batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.scores(batch.column(2)))], names=["id", "held_out", "score"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(fold(id_col, folds) == 0, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    scored = plain.mapInArrow(run, "id long, held_out boolean, score double")
+    scored = plain.mapInArrow(trimmed(run), "id long, held_out boolean, score double")
     return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -244,12 +267,11 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") ->
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tidy()
         for batch in batches:
             if batch.num_rows:
                 yield batch.filter(pa.array(model.scores(batch.column(place)) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

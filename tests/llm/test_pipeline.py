@@ -69,15 +69,58 @@ def test_packing_holds_every_token(stages):
     assert max(fill.values()) <= 2048 and len(fill) <= -(-sum(fill.values()) // 2048) + 1
 
 
+ODD = [
+    (1, None, "en", "a", 0), (2, "", "en", "a", 0), (None, "some words here", "en", None, 1), (None, "other words", None, "a", 1), (3, "x y z", "en", "a", 1), (3, "x y z", "en", "a", 1),
+    (7, " ".join(f"w{i}" for i in range(100)), "de", "b", 9), (7, "six words under the same id", "de", "b", 9),
+]
+
+
 def test_odd_rows_survive_the_filters(spark):
-    rows = [(1, None, "en", "a", 0), (2, "", "en", "a", 0), (None, "some words here", "en", None, 1), (None, "other words", None, "a", 1), (3, "x y z", "en", "a", 1), (3, "x y z", "en", "a", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long")
+    clean = pipeline._toxicity(spark, docs, SMALL)
+    assert clean.columns == docs.columns and clean.count() == len(ODD)  # no labelled text among them: nothing is known of toxicity
     out = pipeline._near_duplicates(spark, docs, SMALL)
-    assert out.count() == 5 and out.where("doc_id = 3").count() == 1
+    assert out.count() == len(ODD) - 1 and out.where("doc_id = 3").count() == 1
     cut = pipeline._substrings(spark, out, SMALL)
-    assert cut.count() == 5 and cut.columns == docs.columns
+    assert cut.count() == len(ODD) - 1 and cut.columns == docs.columns
     assert pipeline._mixing(spark, cut, SMALL).where("text = ''").count() == 0
-    assert pipeline._packing(spark, docs, SMALL).count() == 6
+    assert pipeline._packing(spark, docs, SMALL).count() == len(ODD)
     empty = docs.where("false")
-    for stage in (pipeline._near_duplicates, pipeline._substrings, pipeline._mixing, pipeline._packing):
+    for _, stage in pipeline.STAGES:
         assert stage(spark, empty, SMALL).count() == 0
+
+
+def test_near_duplicates_without_ids(spark):
+    docs = spark.createDataFrame([(None, "one two three four five six seven")] * 3 + [(5, "one two three four five six seven"), (5, "something else under that id, long enough to count")], "doc_id long, text string")
+    docs = docs.withColumn("source", pipeline.F.lit("a"))
+    assert sorted(r.text[:3] for r in pipeline._near_duplicates(spark, docs, SMALL).collect()) == ["one", "som"]
+
+
+def test_columns_with_clashing_names(spark, tmp_path):
+    clashing = "size first taken again kept n_words n_removed id row rest digest score held_out block payload more_0 pass rank words target".split()
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(20)
+    for name in clashing:
+        docs = docs.withColumn(name, pipeline.F.lit("own " + name))
+    for name, stage in pipeline.STAGES:
+        stage(spark, docs, SMALL).write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        if name != "packing":
+            assert out.columns == docs.columns and out.where(" OR ".join(f"`{c}` <> 'own {c}'" for c in clashing)).count() == 0
+            docs = out
+
+
+def test_rows_of_one_id_are_mixed_each_by_its_size(spark):
+    long, short = " ".join(f"w{i}" for i in range(100)), "six words under the same id"
+    docs = spark.createDataFrame([(7, long, "b"), (7, short, "b"), (8, "eight", "c")], "doc_id long, text string, source string")
+    out = [r.text for r in pipeline._mixing(spark, docs, SMALL).collect()]
+    assert all(long.startswith(x) or short.startswith(x) or x == "eight" for x in out) and sum(long.startswith(x) for x in out) <= 2 and sum(short.startswith(x) for x in out) <= 2
+
+
+def test_a_text_of_twelve_megabytes(spark, tmp_path):
+    long = " ".join(f"w{i}" for i in range(1_500_000))
+    docs = spark.createDataFrame([(1, long, "en", "a", len(long)), (2, "a short one", "en", "a", 11)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in pipeline.STAGES:
+        stage(spark, docs, SMALL).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    pieces = docs.where("doc_id = 1").count()
+    assert pieces > 4000
