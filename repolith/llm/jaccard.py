@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -84,6 +84,13 @@ def survivors(left: np.ndarray, right: np.ndarray | None, similarity: float, tol
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 2
 
 
+def _with_survivors(values: np.ndarray, row: int, similarity: float, tolerance: float) -> np.ndarray:
+    """Whether each row stays a candidate of one of them."""
+    out = np.zeros(len(values), bool)
+    out[survivors(values[row : row + 1], values, similarity, tolerance)[1]] = True
+    return out
+
+
 def shared_shingles(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of left[i] with right[j]: a pair at a time, or where most pairs are asked for by a matrix product."""
     if 64 * len(i) < len(left) * len(right):
@@ -113,6 +120,29 @@ def intersections(sets: list[np.ndarray], split: int, columns: int = 4096) -> np
     return out.astype(np.int64)
 
 
+def shared_with(one: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of one set with each of others; all are sorted and not empty."""
+    flat = np.concatenate(sets)
+    hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    return np.add.reduceat(hit, np.cumsum([0, *map(len, sets[:-1])]), dtype=np.int64)
+
+
+def pivots(n: int, linked: Callable[[int], np.ndarray], most: int = 2) -> np.ndarray:
+    """For each row of a block one that stands for it: itself, or one of ``most`` pivots that is linked with it.
+
+    The block's own unit finds these links. Where it meets another block, pivots take the place of
+    their rows, so that many dense blocks don't name each row once for every block they meet.
+    """
+    of, free = np.arange(n), np.ones(n, bool)
+    for _ in range(most):
+        left = np.flatnonzero(free)
+        if len(left) < 2:
+            break
+        hit = linked(int(left[0])) & free
+        of[hit], free[hit], free[left[0]] = left[0], False, False
+    return of
+
+
 def _table(columns: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
@@ -198,6 +228,8 @@ def jaccard_join(
             cross = unit["cross"][0].as_py()
             i, j = survivors(values[left], values[right] if cross else None, similarity, tolerance)
             if len(i):
+                if cross:
+                    i, j = (pivots(len(x), lambda p, x=x: _with_survivors(values[x], p, similarity, tolerance))[k] for x, k in ((left, i), (right, j)))
                 a, b = local_components(nodes[left][i], nodes[right if cross else left][j])
                 yield _table({"a": pa.array(a[a != b]), "b": pa.array(b[a != b])})
 
@@ -205,13 +237,14 @@ def jaccard_join(
         return df.repartition(n, "unit").sortWithinPartitions("unit")
 
     near = connected_components(dealt(units.select("unit", "side", "cross", "node", "values")), trimmed(prune))
-    near = saved(near.withColumnRenamed("component", "near").join(classes.select("node", "rep", "digest", "copies", "words"), "node"), "near")
+    near = saved(near.withColumnRenamed("component", "near").join(classes, "node"), "near")
     blocks = F.expr(f"greatest((count(1) + {block_exact - 1}) div {block_exact}, (sum(words) + {block_words - 1}) div {block_words})").alias("blocks")
-    members = _in_blocks(with_group(near, "near", blocks), "near").select("unit", "side", "cross", "node", "rep", "digest", "copies")
+    members = _in_blocks(with_group(near, "near", blocks), "near").select("unit", "side", "cross", "node", "rep", "digest", "copies", "values")
     nameless = plain.where("id IS NULL").groupBy("digest").agg(F.first("text").alias("text")).select(F.lit(None).cast("long").alias("id"), "text", "digest")
     sources = plain.where("id IS NOT NULL").unionByName(nameless)
-    texts = members.join(sources.alias("t"), (members["digest"] == F.col("t.digest")) & F.col("rep").eqNullSafe(F.col("id")))
-    texts = texts.join(classes.select(F.col("node").alias("of"), "values"), F.col("node") == F.col("of")).select("unit", "side", "cross", "node", "copies", "values", "text")
+    # a shuffle join at every size: the members grow with the table
+    texts = members.join(sources.alias("t").hint("merge"), (members["digest"] == F.col("t.digest")) & F.col("rep").eqNullSafe(F.col("id")))
+    texts = texts.select("unit", "side", "cross", "node", "copies", "values", "text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in groups(batches, "unit"):
@@ -248,6 +281,17 @@ def jaccard_join(
                 continue
             totals = np.bincount(i, weights=weights[j], minlength=len(names)) + np.bincount(j, weights=weights[i], minlength=len(names))
             some = np.flatnonzero(totals)
+            if cross:
+                whole = np.arange(len(names))
+                for own in (left, right):
+                    own_sets, own_lengths = [sets[x] for x in own.tolist()], lengths[own]
+
+                    def linked_with(p: int) -> np.ndarray:
+                        shared = shared_with(own_sets[p], own_sets)
+                        return (shared / (own_lengths + own_lengths[p] - shared) >= similarity) & _with_survivors(signs[own], p, similarity, tolerance)
+
+                    whole[own] = own[pivots(len(own), linked_with)]
+                i, j = whole[i], whole[j]
             a, b = local_components(names[i], names[j])
             a, b = a[a != b], b[a != b]
             yield _table({
