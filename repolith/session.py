@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -18,6 +19,9 @@ def ship(spark: SparkSession) -> SparkSession:
     # texts may be long: batches for Python workers are bounded by bytes, where the session doesn't say otherwise
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    # files of shuffles go when the query that made them ends, not when the driver collects garbage
+    if spark.conf.get(_CLEANUP, None) == "false":
+        spark.conf.set(_CLEANUP, "true")
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         _shipped.add(app)
