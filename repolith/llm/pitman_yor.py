@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, groups, partitions, release, saved, table, written
+from .common import bucketed, drop, groups, partitions, saved, table, written
 from .exchange import ASKED, answered, answers_of, asked_rows, by_bucket, make_blocks, open_block, rows_of, with_answers
+from .tokens import trimmed
 from .words import hashed, mixed
 
 #: The end of a text, and the context of its first token.
@@ -65,20 +66,24 @@ class _Pairs:
 
 
 def _write(arrays: list[np.ndarray]) -> bytes:
-    return np.array([len(a) for a in arrays], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
+    """Arrays, compressed: counts and numbers are small."""
+    raw = b"".join(a.tobytes() for a in arrays)
+    return np.array([len(raw), *map(len, arrays)], np.int64).tobytes() + pa.Codec("zstd").compress(raw, asbytes=True)
 
 
-def _read(data: bytes, kinds: tuple, at: int = 0) -> list[np.ndarray]:
-    lengths = np.frombuffer(data, np.int64, len(kinds), at)
-    at, out = at + 8 * len(kinds), []
-    for n, kind in zip(lengths.tolist(), kinds):
-        out.append(np.frombuffer(data, kind, n, at))
+def _read(data: bytes, kinds: tuple) -> list[np.ndarray]:
+    size, *lengths = np.frombuffer(data, np.int64, 1 + len(kinds)).tolist()
+    raw = pa.Codec("zstd").decompress(memoryview(data)[8 * (1 + len(kinds)) :], size, asbytes=True)
+    at, out = 0, []
+    for n, kind in zip(lengths, kinds):
+        out.append(np.frombuffer(raw, kind, n, at))
         at += n * np.dtype(kind).itemsize
     return out
 
 
-#: Words, pairs of each, contexts and counts of the pairs, as a block sends them; a bucket's pairs, merged.
-PAIRS, MERGED = (np.uint64, np.uint32, np.uint64, np.uint32), (np.uint32, np.uint64, np.int64)
+#: Words, pairs of each, contexts and counts of the pairs, as a block sends them; a bucket's pairs, merged, with the
+#: distinct contexts and the place of each pair's among them.
+PAIRS, MERGED = (np.uint64, np.uint32, np.uint64, np.uint32), (np.uint32, np.uint64, np.int32, np.int64)
 #: Contexts, their tables and customers.
 TOTALS = (np.uint64, np.int64, np.int64)
 
@@ -130,7 +135,7 @@ def merge(payloads: list[bytes]) -> tuple[bytes, list[list[bytes]]]:
     for part in parts:
         places.append([_rising(word_of[w : w + len(part[0])]), _rising(pair_of[p : p + len(part[2])])])
         w, p = w + len(part[0]), p + len(part[2])
-    return _write([np.bincount(word, minlength=len(words)).astype(np.uint32), contexts[context], total]), places
+    return _write([np.bincount(word, minlength=len(words)).astype(np.uint32), contexts, context.astype(np.int32), total]), places
 
 
 def sum_contexts(_: int, payloads: list[bytes]) -> list[bytes]:
@@ -147,10 +152,9 @@ class _Bucket:
     """All pairs of the tokens of one bucket, their seating, and the totals of their contexts' restaurants."""
 
     def __init__(self, payload: bytes, buckets: int, answers: dict[int, bytes]) -> None:
-        each, contexts, self.counts = _read(payload, MERGED)
+        each, self.contexts, self.context, self.counts = _read(payload, MERGED)
         n = len(each)
         self.word = np.repeat(np.arange(n), each)
-        self.contexts, self.context = np.unique(contexts, return_inverse=True)
         self.order, self.cuts = by_bucket(self.contexts, buckets)
         self.T, self.C = np.zeros(len(self.contexts), np.int64), np.zeros(len(self.contexts), np.int64)
         for bucket, data in answers.items():
@@ -223,7 +227,7 @@ def score_texts(
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    buckets = 4 * n  # a task holds one bucket at a time
+    buckets = 2 * n  # a task holds one bucket at a time
     blocks = make_blocks(docs, id_col, text_col, block_bytes)
 
     def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,11 +247,10 @@ def score_texts(
             merged, places = merge(bucket["payload"].to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([bucket["bucket"][0].as_py()], pa.int64()), pa.array([merged], pa.binary()), pa.array([bucket["block"].to_pylist()], pa.list_(pa.int64())), pa.array([places], pa.list_(pa.list_(pa.binary())))], names=["block", "payload", "blocks", "places"])
 
-    # a bucket is one row, so that no reader splits it; it asks buckets of contexts as a block does
-    asked = blocks.mapInArrow(ask_pairs, ASKED).repartition(n, "bucket").sortWithinPartitions("bucket", "block")
-    held = saved(asked.mapInArrow(whole, "block long, payload binary, blocks array<long>, places array<array<binary>>"), "pairs")
-    del asked
-    release(spark)
+    # a bucket is one row, so that no reader splits it; it asks buckets of contexts as a block does, and its answers come to where it is
+    asked = blocks.mapInArrow(trimmed(ask_pairs), ASKED).repartition(n, F.col("bucket").cast("long")).sortWithinPartitions("bucket", "block")
+    held = bucketed(asked.mapInArrow(trimmed(whole), "block long, payload binary, blocks array<long>, places array<array<binary>>"), "pairs", "block", n)
+    stored = written[-1]
     model: dict = {"theta0": theta[0], "theta1": theta[1]}
 
     def totals(pairs: DataFrame, m: dict, sweeps: int) -> DataFrame:
@@ -261,21 +264,23 @@ def score_texts(
                 yield bucket.asked(row["block"])
                 yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([-1], pa.int32()), pa.array([bucket.sums().tobytes()], pa.binary())], names=["block", "bucket", "payload"])
 
-        asked = saved(pairs.mapInArrow(run, ASKED), "context-totals")
+        asked = saved(pairs.mapInArrow(trimmed(run), ASKED), "context-totals")
+        sent = written[-1]
         rows = asked.where("bucket = -1").select("payload").collect()
         sums = sum((np.frombuffer(r["payload"], np.int64) for r in rows), np.zeros(8, np.int64)).tolist()
         if "V" not in m:
             m["N"], m["V"], m["d1"], m["d0"] = sums[0], sums[1], _discount(*sums[4:6]), _discount(*sums[6:])
         m["root_tables"], m["root_customers"] = sums[2:4]
-        return answered(asked.where("bucket >= 0"), sum_contexts)
+        answers = saved(answered(asked.where("bucket >= 0"), sum_contexts), "context-answers")
+        drop(spark, [sent])
+        return answers
 
     pairs = held.select("block", "payload")
     first = totals(pairs.withColumn("answers", F.lit(None).cast("array<struct<bucket: int, answer: binary>>")), model, 0)
-    sent = written[-1]
+    told = written[-1]
     second = totals(with_answers(pairs, first), model, burn_in)
-    del first
-    drop(spark, [sent])
-    release(spark)
+    drop(spark, [told])
+    used = [stored, written[-1]]
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
@@ -314,7 +319,9 @@ def score_texts(
             )
 
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return with_answers(blocks, with_answers(held, second).mapInArrow(answer, ASKED)).mapInArrow(score, schema).withColumnRenamed("id", id_col)
+    answers = saved(with_answers(held, second).mapInArrow(trimmed(answer), ASKED), "answers")
+    drop(spark, used)
+    return with_answers(blocks, answers).mapInArrow(trimmed(score), schema).withColumnRenamed("id", id_col)
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
