@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 import tomllib
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -101,20 +103,21 @@ def html_text(html: pd.Series) -> pd.Series:
     return html.map(html_to_text)
 
 
-def match_headers(found: list[str], wanted: list[str], similarity) -> dict[str, str]:
-    """One-to-one renames found -> wanted, the most similar pair first; ties by position."""
-    pairs = sorted(((-similarity(f, w), i, j) for i, f in enumerate(found) for j, w in enumerate(wanted)))
-    out, used = {}, set()
-    for _, i, j in pairs:
-        if found[i] not in out and j not in used:
-            out[found[i]] = wanted[j]
-            used.add(j)
+def match_headers(found: list[str], wanted: list[str], similarity) -> dict[int, str]:
+    """Places of found headers -> wanted ones: each wanted header in turn takes the most similar that is left, the first on a tie."""
+    out: dict[int, str] = {}
+    for w in wanted:
+        left = [i for i in range(len(found)) if i not in out]
+        if left:
+            out[max(left, key=lambda i: (similarity(found[i], w), -i))] = w
     return out
 
 
-def _overlap(a: str, b: str) -> float:
-    x, y = ({s.lower()[i : i + 2] for i in range(max(1, len(s) - 1))} for s in (a, b))
-    return len(x & y) / max(1, len(x | y))
+def _cosine(a: str, b: str) -> float:
+    """Cosine of the counts of letter pairs: the stand-in for an embedding's."""
+    x, y = (Counter(s.lower()[i : i + 2] for i in range(max(1, len(s) - 1))) for s in (a, b))
+    size = sum(v * v for v in x.values()) * sum(v * v for v in y.values())
+    return sum(n * y[k] for k, n in x.items()) / math.sqrt(size) if size else 0.0
 
 
 def rename_headers(text: str | None, wanted: list[str], level: int = 4) -> str | None:
@@ -125,8 +128,12 @@ def rename_headers(text: str | None, wanted: list[str], level: int = 4) -> str |
     found = [x[len(mark) :].strip() for x in text.split("\n") if x.startswith(mark)]
     if set(wanted) <= set(found):
         return text
-    names = dict(zip(found, wanted)) if len(found) == len(wanted) else match_headers(found, wanted, _overlap)
-    lines = [mark + names.get(x[len(mark) :].strip(), x[len(mark) :].strip()) if x.startswith(mark) else x for x in text.split("\n")]
+    names = dict(enumerate(wanted)) if len(found) == len(wanted) else match_headers(found, wanted, _cosine)
+    lines, at = [], 0
+    for x in text.split("\n"):
+        if x.startswith(mark):
+            x, at = mark + names.get(at, found[at]), at + 1
+        lines.append(x)
     return "\n".join(lines)
 
 

@@ -26,12 +26,40 @@ def trim_rust_type(t: Column | str) -> Column:
     return F.trim(F.element_at(F.split(F.regexp_replace(F.regexp_replace(_c(t), "&", ""), "mut ", ""), "<"), 1))
 
 
-def trim_ts_type(t: Column | str, depth: int = 4) -> Column:
-    """First capitalised name of a TypeScript type, without arrays, type arguments (``depth`` levels) and alternatives."""
-    out = F.regexp_replace(_c(t), r"\[\]", "")
-    for _ in range(depth):
-        out = F.regexp_replace(out, r"<[^<>]*>", "")
-    return F.nullif(F.regexp_extract(F.element_at(F.split(out, r"[|&]"), 1), r"([A-Z][A-Za-z0-9_]*)", 1), F.lit(""))
+#: Names of TypeScript's own types, in lower case.
+TS_BASIC = ("any", "bigint", "boolean", "null", "number", "object", "string", "symbol", "undefined", "unknown", "void")
+
+
+def trim_ts_type(t: Column | str) -> Column:
+    """First capitalised name of a TypeScript type, without arrays and type arguments of any depth; null for a basic one."""
+    bare = F.regexp_replace(_c(t), r"\[\s*\]", "")
+    levels = F.sequence(F.lit(0), F.length(F.regexp_replace(bare, "[^<]", "")))
+    out = F.aggregate(levels, bare, lambda text, _: F.regexp_replace(text, r"<[^<>]*>", ""))
+    name = F.regexp_extract(out, r"([A-Z][A-Za-z0-9_]*)", 1)
+    return F.when((name != "") & ~F.lower(name).isin(*TS_BASIC), name)
+
+
+def strip_resource(filename: Column | str, repo: Column | str) -> Column:
+    """A file name without a leading resource/<repo>/, else without a leading resource/."""
+    f, own = _c(filename), F.concat(F.lit("resource/"), _c(repo), F.lit("/"))
+    return F.when(F.startswith(f, own), F.substr(f, F.length(own) + 1)).when(F.startswith(f, F.lit("resource/")), F.substr(f, F.lit(10))).otherwise(f)
+
+
+def ts_function_names(text: Column | str) -> Column:
+    """Distinct names that a TypeScript source defines: functions, and the first method of each class."""
+    names = lambda p: F.regexp_extract_all(_c(text), F.lit(p), 1)
+    return F.array_distinct(F.concat(names(r"function\s+(\w+)\s*\("), names(r"(?s)class\s+\w+\s*\{\s*.*?(\w+)\s*\(")))
+
+
+#: Kinds of errors, and statuses, after which a call is made again.
+RETRY_KINDS = ("APIConnectionError", "APITimeoutError", "InternalServerError", "RateLimitError", "ReadTimeout")
+RETRY_STATUSES = (408, 409, 429, 500, 502, 503, 504)
+
+
+def retryable(kind: Column | str, status: Column | str) -> Column:
+    """Whether a failed call may be made again; never after its deadline."""
+    known = F.coalesce(_c(kind).isin(*RETRY_KINDS), F.lit(False)) | F.coalesce(_c(status).isin(*RETRY_STATUSES), F.lit(False))
+    return known & ~F.coalesce(_c(kind) == "LLMDeadlineExceeded", F.lit(False))
 
 
 def clean_type_name(t: Column | str) -> Column:

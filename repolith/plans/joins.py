@@ -181,12 +181,12 @@ def cluster_merge(spark, d):
     return table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("module")).agg(F.array_join(F.array_sort(F.collect_list("n_name")), ", ").alias("names"), F.max_by("n_name", "n_nationkey").alias("last"))
 
 
-@query("""WITH x AS (SELECT o_custkey AS repo, COUNT(*) AS n, COUNT(*) FILTER (o_orderstatus = 'F') AS ok FROM orders GROUP BY 1)
-SELECT repo, CASE WHEN ok = 0 THEN 'failed' WHEN ok = n THEN 'succeeded' ELSE 'partial' END AS status FROM x""")
+@query("""WITH x AS (SELECT o_custkey AS repo, COUNT(*) AS n, COUNT(*) FILTER (o_orderstatus = 'F') AS ok, COUNT(*) FILTER (o_orderpriority LIKE '1%') AS issues FROM orders GROUP BY 1)
+SELECT repo, CASE WHEN ok = 0 THEN 'failed' WHEN ok = n AND issues = 0 THEN 'succeeded' ELSE 'partial' END AS status FROM x""")
 def status_rollup(spark, d):
     from repolith.plans.lifecycle import rollup
 
-    return rollup(table(spark, d, "orders").select(F.col("o_custkey").alias("repo"), (F.col("o_orderstatus") == "F").alias("ok")))
+    return rollup(table(spark, d, "orders").select(F.col("o_custkey").alias("repo"), (F.col("o_orderstatus") == "F").alias("ok"), F.startswith("o_orderpriority", F.lit("1")).cast("int").alias("issues")))
 
 
 @query("""WITH m AS (SELECT o_custkey AS profile, COUNT(DISTINCT o_orderpriority) AS mapped, COUNT(DISTINCT o_orderpriority) FILTER (o_orderpriority IN (SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderpriority < '3')) AS valid FROM orders GROUP BY 1)

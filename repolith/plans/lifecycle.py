@@ -86,9 +86,9 @@ def distinct_in_order(rows: DataFrame, value: str, order: str) -> DataFrame:
 
 
 def rollup(parts: DataFrame) -> DataFrame:
-    """(repo, status): failed without a success, succeeded without a failure, else partial. parts(repo, ok)."""
-    counts = parts.groupBy("repo").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("good"))
-    return counts.select("repo", F.when(F.col("good") == 0, "failed").when(F.col("good") == F.col("n"), "succeeded").otherwise("partial").alias("status"))
+    """(repo, status): failed without a success, succeeded without a failure or an issue of a stage, else partial. parts(repo, ok, issues)."""
+    counts = parts.groupBy("repo").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("good"), F.sum("issues").alias("issues"))
+    return counts.select("repo", F.when(F.col("good") == 0, "failed").when((F.col("good") == F.col("n")) & (F.col("issues") == 0), "succeeded").otherwise("partial").alias("status"))
 
 
 def coverage_of(mapped: DataFrame, standard: DataFrame, n: int) -> DataFrame:
@@ -107,24 +107,34 @@ def map_features(raw: DataFrame, standard: DataFrame, least: float = 0.8) -> Dat
     return best.select(F.col("query_id").alias("raw_id"), F.when(score >= least, F.col("id")).alias("standard_id"), score.alias("confidence"))
 
 
+def valid_profiles(profiles: DataFrame) -> DataFrame:
+    """Profiles that were made without a failure; only these take part in a model's evolution."""
+    return profiles.where("status = 'succeeded'")
+
+
 def evolve(features: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(features, changes): the next version of a model after decisions in their order.
+    """(features, changes): the next version of a model after decisions(ord, action, ...) in their order.
 
-    ADD_NEW and ADD_SUB add a feature under the root or a known parent, MERGE rewrites a description
-    (the last one counts), IGNORE and what names no known feature change nothing. Ids of new
-    features are digests of their names, so that a run again gives the same ids.
+    ADD_NEW_FEATURE and ADD_SUB_FEATURE add a feature each, under the root or a known parent, if they
+    give a name and a description; MERGE_FEATURE rewrites a known feature's description, the last one
+    counts. IGNORE, what names no known feature and what lacks a value change nothing. An id is the
+    digest of parent, name and how often both came before, so that a run again gives the same ids and
+    adds nothing twice. New features stand after the old ones, in the order of their decisions.
     """
     ids = features.select("id")
-    add = decisions.where("action IN ('ADD_NEW', 'ADD_SUB') AND new_feature_name IS NOT NULL")
-    top = add.where("action = 'ADD_NEW'").withColumn("parent_feature_id", F.lit(None).cast("string"))
-    sub = add.where("action = 'ADD_SUB'").join(ids.withColumnRenamed("id", "parent_feature_id"), "parent_feature_id", "left_semi")
-    fresh = top.unionByName(sub.select(*top.columns)).select(s.digest8("new_feature_name").alias("id"), F.col("parent_feature_id").alias("parent_id"), F.col("new_feature_name").alias("name"), F.col("new_feature_description").alias("description"))
-    fresh = fresh.dropDuplicates(["id"]).join(ids, "id", "left_anti")
-    merges = decisions.where("action = 'MERGE' AND updated_description IS NOT NULL").groupBy(F.col("target_feature_id").alias("id")).agg(F.max_by("updated_description", "ord").alias("updated"))
+    given = lambda *names: " AND ".join(f"coalesce({n}, '') <> ''" for n in names)
+    add = decisions.where(given("new_feature_name", "new_feature_description"))
+    top = add.where("action = 'ADD_NEW_FEATURE'").withColumn("parent_feature_id", F.lit(None).cast("string"))
+    sub = add.where("action = 'ADD_SUB_FEATURE'").join(ids.withColumnRenamed("id", "parent_feature_id"), "parent_feature_id", "left_semi")
+    before = F.row_number().over(Window.partitionBy("parent_feature_id", "new_feature_name").orderBy("ord"))
+    fresh = top.unionByName(sub.select(*top.columns)).withColumn("id", F.concat(F.lit("feat_"), F.sha1(F.concat_ws("\u0001", F.coalesce("parent_feature_id", F.lit("")), "new_feature_name", before))))
+    fresh = fresh.select("id", F.col("parent_feature_id").alias("parent_id"), F.col("new_feature_name").alias("name"), F.col("new_feature_description").alias("description"), F.col("ord").alias("place")).join(ids, "id", "left_anti")
+    merges = decisions.where("action = 'MERGE_FEATURE' AND " + given("target_feature_id", "updated_description")).groupBy(F.col("target_feature_id").alias("id")).agg(F.max_by("updated_description", "ord").alias("updated"))
     kept = features.join(merges, "id", "left").withColumn("changed", F.col("updated").isNotNull()).withColumn("description", F.coalesce("updated", "description")).drop("updated")
-    head = features.agg(F.first("model").alias("model"), F.first("version").alias("version"))
-    added = fresh.crossJoin(F.broadcast(head)).withColumn("changed", F.lit(True))  # one row
-    out = kept.select("model", "version", "id", "parent_id", "name", "description", "changed").unionByName(added.select("model", "version", "id", "parent_id", "name", "description", "changed"))
+    head = features.agg(F.first("model").alias("model"), F.first("version").alias("version"), F.max("ord").alias("last"))
+    added = fresh.crossJoin(F.broadcast(head)).withColumn("changed", F.lit(True)).withColumn("ord", F.col("last") + 1 + F.col("place"))  # one row
+    columns = ("model", "version", "id", "parent_id", "name", "description", "ord", "changed")
+    out = kept.select(*columns).unionByName(added.select(*columns))
     any_ = out.agg(F.coalesce(F.bool_or("changed"), F.lit(False)).alias("any_changed"))
     out = out.crossJoin(F.broadcast(any_)).withColumn("version", F.when(F.col("any_changed"), s.next_patch("version")).otherwise(F.col("version")))
     return out.drop("changed", "any_changed"), out.where("changed").select("id", "name")
@@ -132,25 +142,30 @@ def evolve(features: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFr
 
 def _model(spark, d):
     b = table(spark, d, "benchmark")
-    return b.select(F.lit("domain").alias("model"), F.lit("1.0.0").alias("version"), F.concat(F.lit("f"), "item_id").alias("id"), F.lit(None).cast("string").alias("parent_id"), F.concat(F.lit("feature "), "item_id").alias("name"), F.col("text").alias("description"))
+    return b.select(
+        F.lit("domain").alias("model"), F.lit("1.0.0").alias("version"), F.concat(F.lit("f"), "item_id").alias("id"), F.lit(None).cast("string").alias("parent_id"), F.concat(F.lit("feature "), "item_id").alias("name"),
+        F.col("text").alias("description"), F.col("item_id").alias("ord"),
+    )
 
 
 def _decisions(spark, d):
-    kind = F.expr("CASE c_mktsegment WHEN 'BUILDING' THEN 'ADD_NEW' WHEN 'MACHINERY' THEN 'ADD_SUB' WHEN 'HOUSEHOLD' THEN 'MERGE' ELSE 'IGNORE' END")
+    kind = F.expr("CASE c_mktsegment WHEN 'BUILDING' THEN 'ADD_NEW_FEATURE' WHEN 'MACHINERY' THEN 'ADD_SUB_FEATURE' WHEN 'HOUSEHOLD' THEN 'MERGE_FEATURE' ELSE 'IGNORE' END")
     return table(spark, d, "customer").select(
-        F.col("c_custkey").alias("ord"), kind.alias("action"), F.concat(F.lit("new "), "c_nationkey").alias("new_feature_name"), F.col("c_name").alias("new_feature_description"),
-        F.concat(F.lit("f"), "c_nationkey").alias("parent_feature_id"), F.concat(F.lit("f"), "c_nationkey").alias("target_feature_id"), F.col("c_name").alias("updated_description"),
+        F.col("c_custkey").alias("ord"), kind.alias("action"), F.concat(F.lit("new "), "c_nationkey").alias("new_feature_name"), F.expr("CASE WHEN c_custkey % 5 <> 0 THEN c_name END").alias("new_feature_description"),
+        F.concat(F.lit("f"), F.col("c_custkey") % 50).alias("parent_feature_id"), F.concat(F.lit("f"), "c_nationkey").alias("target_feature_id"), F.col("c_name").alias("updated_description"),
     )
 
 
-@query("""WITH f AS (SELECT 'f' || item_id AS id, 'feature ' || item_id AS name, text AS description FROM benchmark),
-k AS (SELECT c_custkey AS ord, CASE c_mktsegment WHEN 'BUILDING' THEN 'ADD_NEW' WHEN 'MACHINERY' THEN 'ADD_SUB' WHEN 'HOUSEHOLD' THEN 'MERGE' ELSE 'IGNORE' END AS action, 'new ' || c_nationkey AS name, 'f' || c_nationkey AS fid, c_name FROM customer),
-a AS (SELECT DISTINCT left(sha1(name), 8) AS id, name FROM k WHERE action = 'ADD_NEW' OR (action = 'ADD_SUB' AND fid IN (SELECT id FROM f))),
-m AS (SELECT fid AS id, max_by(c_name, ord) AS updated FROM k WHERE action = 'MERGE' GROUP BY fid)
-SELECT '1.0.1' AS version, id, name FROM a UNION ALL SELECT '1.0.1', f.id, f.name FROM f""")
+@query("""WITH f AS (SELECT 'f' || item_id AS id, 'feature ' || item_id AS name, text AS description, item_id AS ord FROM benchmark),
+k AS (SELECT c_custkey AS ord, c_mktsegment AS kind, 'new ' || c_nationkey AS name, 'f' || (c_custkey % 50) AS parent, 'f' || c_nationkey AS target, c_name FROM customer),
+a AS (SELECT CASE WHEN kind = 'MACHINERY' THEN parent END AS parent_id, name, c_name AS description, ord FROM k WHERE ord % 5 <> 0 AND (kind = 'BUILDING' OR (kind = 'MACHINERY' AND parent IN (SELECT id FROM f)))),
+n AS (SELECT *, row_number() OVER (PARTITION BY parent_id, name ORDER BY ord) AS nth FROM a),
+m AS (SELECT target AS id, max_by(c_name, ord) AS updated FROM k WHERE kind = 'HOUSEHOLD' GROUP BY 1)
+SELECT '1.0.1' AS version, 'feat_' || sha1(COALESCE(parent_id, '') || chr(1) || name || chr(1) || nth) AS id, parent_id, name, description, (SELECT MAX(ord) FROM f) + 1 + ord AS ord FROM n
+UNION ALL SELECT '1.0.1', f.id, NULL, f.name, COALESCE(m.updated, f.description), f.ord FROM f LEFT JOIN m USING (id)""")
 def model_evolution(spark, d):
     out, _ = evolve(_model(spark, d), _decisions(spark, d))
-    return out.select("version", "id", "name")
+    return out.select("version", "id", "parent_id", "name", "description", "ord")
 
 
 @query("SELECT 'f' || item_id AS id, COALESCE(m.updated, text) AS description FROM benchmark LEFT JOIN (SELECT c_nationkey AS item_id, max_by(c_name, c_custkey) AS updated FROM customer WHERE c_mktsegment = 'HOUSEHOLD' GROUP BY 1) m USING (item_id)")
@@ -177,7 +192,7 @@ def function_documents(spark, d):
 
 @query()
 def retrieval_answers(spark, d):
-    """Each first turn with the three nearest benchmark items as context, answered by the provider."""
+    """Each turn of a user with the three nearest benchmark items as context, answered by the provider."""
     c = table(spark, d, "conversations").where("role = 'user'").select(F.concat_ws(".", "conv_id", "turn").alias("query_id"), "text")
     base = embedded(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"), "text", "v")
     near = vector.nearest(embedded(c, "text", "q").select("query_id", "q"), base.select("id", "v"), 3)

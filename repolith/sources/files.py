@@ -6,6 +6,7 @@ import io
 import tarfile
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -78,7 +79,10 @@ def source_files(spark: SparkSession, root: str, suffixes: tuple[str, ...], skip
     """Files below ``root`` with one of ``suffixes``, in no folder of ``skip`` and with no dot before the name; decoded."""
     glob = "*.{" + ",".join(s.lstrip(".") for s in suffixes) + "}"
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    folders = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
+    # only folders below the root count: the path that is left after the root's own
+    base = urlparse(root).path.rstrip("/") + "/"
+    below = F.split(F.substr("path", F.instr("path", base) + len(base)), "/")
+    folders = F.slice(below, 1, F.size(below) - 1)
     kept = rows.where(~F.arrays_overlap(folders, F.array(*map(F.lit, skip)))).where(~F.element_at(F.split("path", "/"), -1).startswith("."))
     return kept.select("path", py.decoded("content").alias("d")).select("path", "d.text", "d.encoding")
 
@@ -139,6 +143,36 @@ def with_code(functions: DataFrame, files: DataFrame, clamp: bool = True) -> Dat
     return rows.withColumn("code", line_range(F.coalesce("by_path", "by_name"), F.col("beginLine"), F.col("endLine"), clamp)).drop("base", "by_name", "by_path")
 
 
+def present(rows: DataFrame, files: DataFrame, filename: str = "filename") -> DataFrame:
+    """Rows whose file is one of ``files`` (path)."""
+    return rows.join(files.select(F.col("path").alias(filename)), filename, "left_semi")
+
+
+def complete(rows: DataFrame, required: tuple[str, ...] = ("signature", "name", "code", "filename", "modifier", "params", "callees")) -> DataFrame:
+    """Rows that have all ``required`` fields."""
+    return rows.dropna(subset=list(required))
+
+
+def named_rows(rows: DataFrame) -> DataFrame:
+    """Rows with a signature; of those in a placeholder file only the ones with code."""
+    from repolith.functions.scalar import is_placeholder_file
+
+    return rows.where("coalesce(signature, '') <> ''").where(~is_placeholder_file("filename") | (F.coalesce("code", F.lit("")) != ""))
+
+
+def markdown_folder(spark: SparkSession, root: str) -> DataFrame:
+    """(repo, text): a repository for each .md file of a folder, named by its stem."""
+    rows = spark.read.text(root, wholetext=True, pathGlobFilter="*.md").select(F.col("_metadata.file_name").alias("file"), "value")
+    return rows.select(F.regexp_replace("file", r"\.md$", "").alias("repo"), F.col("value").alias("text"))
+
+
+def ts_names(files: DataFrame) -> DataFrame:
+    """Distinct names that TypeScript files (path, text) define, for a repository without tags."""
+    from repolith.functions.scalar import ts_function_names
+
+    return files.where(F.endswith("path", F.lit(".ts"))).select(F.explode(ts_function_names("text")).alias("name")).distinct()
+
+
 def or_default(rows: DataFrame, default: DataFrame) -> DataFrame:
     """``default`` where ``rows`` has none."""
     return rows.unionByName(default.join(rows.limit(1).select(F.lit(1).alias("some")), F.lit(True), "left_anti"))

@@ -15,7 +15,14 @@ def value(spark, column, **row):
 def test_types(spark):
     assert value(spark, s.trim_c_type("t"), t="const char *[16]") == "char"
     assert value(spark, s.trim_ts_type("t"), t="Promise<Map<string, Foo>>[] | null") == "Promise"
-    assert value(spark, s.trim_ts_type("t"), t="string") is None
+    assert value(spark, s.trim_ts_type("t"), t="string | Foo") == "Foo"
+    assert value(spark, s.trim_ts_type("t"), t="A<B<C<D<E<F<G>>>>>>[ ]") == "A"
+    assert value(spark, s.trim_ts_type("t"), t="x < Foo") == "Foo"
+    for basic in ("string", "String", "Unknown[]", ""):
+        assert value(spark, s.trim_ts_type("t"), t=basic) is None
+    assert value(spark, s.strip_resource("t", s.F.lit("x")), t="resource/x/a.rs") == "a.rs" and value(spark, s.strip_resource("t", s.F.lit("x")), t="resource/y/a.rs") == "y/a.rs"
+    assert sorted(value(spark, s.ts_function_names("t"), t="function  go(a) {}\nclass A {\n  run() {}\n  two() {}\n}")) == ["go", "run"]
+    assert value(spark, s.retryable("t", s.F.lit(None).cast("int")), t="ReadTimeout") and not value(spark, s.retryable("t", s.F.lit(500)), t="LLMDeadlineExceeded")
     assert value(spark, s.trim_rust_type("t"), t="&mut Vec<u8>") == "Vec"
 
 
