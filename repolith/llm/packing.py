@@ -37,73 +37,121 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def _improve(lengths: np.ndarray, bins: np.ndarray, fill: np.ndarray, low: int, capacity: int, near: int) -> bool:
-    """One exchange that moves tokens out of bin ``low`` into a fuller one, the one of the largest gain in squared fill; False if there is none."""
-    mine = np.flatnonzero(bins == low)
-    others = (fill > 0) & (fill < capacity) & (fill >= fill[low])
-    others[low] = False
-    targets = np.flatnonzero(others)
-    if not len(targets):
-        return False
-    best: tuple[float, int, list[int], int] | None = None
-    space = capacity - fill[targets]
-    inside = np.flatnonzero(others[bins])
-    roomy = targets[np.argsort(-space, kind="stable")[:near]]
-    pairs = []
-    for b in roomy.tolist():
-        own = np.flatnonzero(bins == b)[:64]
-        i, j = np.triu_indices(len(own), 1)
-        pairs.append((np.full(len(i), b), own[i], own[j]))
-    two_bin, two_a, two_b = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.empty(0, int),) * 3
-
-    def consider(gain: np.ndarray, at: np.ndarray, item: int, give: list[np.ndarray]) -> None:
-        nonlocal best
-        if len(gain) and (k := int(np.argmax(gain))) >= 0 and (best is None or gain[k] > best[0]):
-            best = (float(gain[k]), item, [int(x[k]) for x in give], int(at[k]))
-
-    for item in mine.tolist():
-        x = int(lengths[item])
-        fits = targets[space >= x]  # move
-        consider(x * (fill[fits] - fill[low] + x), fits, item, [])
-        for at, given, give in ((bins[inside], lengths[inside], [inside]), (two_bin, lengths[two_a] + lengths[two_b], [two_a, two_b])):
-            if len(at):
-                moved = x - given  # one for one, two for one
-                ok = np.flatnonzero((moved > 0) & (moved <= capacity - fill[at]))
-                consider(moved[ok] * (fill[at[ok]] - fill[low] + moved[ok]), at[ok], item, [g[ok] for g in give])
-    if best is None or best[0] <= 0:
-        return False
-    _, item, back, to = best
-    moved = int(lengths[item]) - int(lengths[back].sum())
-    bins[item], bins[back] = to, low
-    fill[to] += moved
-    fill[low] -= moved
-    return True
-
-
-def pack(lengths: np.ndarray, capacity: int, near: int = 32, tries: int = 24, swaps: int = 400) -> np.ndarray:
+class _Search:
+    """Bins that exchange items so that squared fill grows, with indexes that an exchange keeps up to date.
+
+    The items of all bins stand in one array. Pairs, for two-for-one exchanges, stand in another: a bin
+    has one for each two of its distinct lengths, or twice one length, which covers all pairs of its
+    items; bins of 2048 have 63 distinct lengths at most. A changed bin's old pairs are void by its version.
+    """
+
+    def __init__(self, lengths: np.ndarray, bins: np.ndarray, capacity: int) -> None:
+        self.lengths, self.bins, self.capacity = lengths, bins, capacity
+        self.fill = np.bincount(bins, weights=lengths).astype(np.int64)
+        order = np.argsort(bins, kind="stable")
+        self.items = [x.tolist() for x in np.split(order, np.searchsorted(bins[order], np.arange(1, len(self.fill))))]
+        self.version = np.zeros(len(self.fill), np.int64)
+        self.open = self.fill < capacity
+        self.touched: set[int] = set()
+        self._gather()
+
+    def _pairs_of(self, b: int) -> list[tuple[int, int, int, int, int]]:
+        by_length: dict[int, list[int]] = {}
+        for item in self.items[b]:
+            by_length.setdefault(int(self.lengths[item]), []).append(item)
+        own = sorted(by_length.items())
+        version = int(self.version[b])
+        out = [(b, version, 2 * n, same[0], same[1]) for n, same in own if len(same) > 1]
+        return out + [(b, version, n + m, one[0], other[0]) for k, (n, one) in enumerate(own) for m, other in own[:k]]
+
+    def _gather(self) -> None:
+        """Singles and pairs of the bins that have room, in arrays."""
+        rows = [p for b in np.flatnonzero(self.open & (self.fill > 0)).tolist() for p in self._pairs_of(b)]
+        self.pairs = np.array(rows, np.int64).reshape(-1, 5)
+        self.added: list[tuple[int, int, int, int, int]] = []
+        self.singles = np.flatnonzero(self.open[self.bins])
+
+    def _candidates(self, low: int) -> tuple[np.ndarray, ...]:
+        """What bins other than ``low``, fuller than it, could give back: (bin, tokens, first item, second item or -1); nothing counts too, where a bin has room."""
+        if len(self.added) > 256 + len(self.pairs) // 8:
+            self._gather()
+        pairs = np.concatenate([self.pairs, np.array(self.added, np.int64).reshape(-1, 5)]) if self.added else self.pairs
+        pairs = pairs[(self.version[pairs[:, 0]] == pairs[:, 1])]
+        singles = self.singles
+        empty = np.flatnonzero(self.open & (self.fill > 0))
+        at = np.concatenate([empty, self.bins[singles], pairs[:, 0]])
+        tokens = np.concatenate([np.zeros(len(empty), np.int64), self.lengths[singles], pairs[:, 2]])
+        one = np.concatenate([np.full(len(empty), -1), singles, pairs[:, 3]])
+        two = np.concatenate([np.full(len(empty) + len(singles), -1), pairs[:, 4]])
+        ok = (at != low) & (self.fill[at] >= self.fill[low]) & (self.fill[at] < self.capacity)
+        return at[ok], tokens[ok], one[ok], two[ok]
+
+    def givers_to(self, b: int) -> np.ndarray:
+        """Bins that have an exchange with ``b`` to make."""
+        if not (self.open[b] and self.fill[b]):
+            return np.empty(0, np.int64)
+        back = np.array(sorted({0, *(int(self.lengths[i]) for i in self.items[b]), *(p[2] for p in self._pairs_of(b))}))
+        at = self.bins[self.singles]
+        ok = self.open[at] & (self.fill[at] <= self.fill[b]) & (at != b)
+        at, own = at[ok], self.lengths[self.singles[ok]]
+        # the least that it could move: its length without the largest that may come back for it
+        moved = own - back[np.searchsorted(back, own, "left") - 1]
+        return np.unique(at[moved <= self.capacity - self.fill[b]])
+
+    def exchange(self, low: int) -> bool:
+        """The exchange of the largest gain in squared fill that moves tokens out of ``low``; False if there is none."""
+        at, tokens, one, two = self._candidates(low)
+        room, lead = self.capacity - self.fill[at], self.fill[at] - self.fill[low]
+        best, chosen = 0, None
+        for length, item in {int(self.lengths[i]): i for i in self.items[low]}.items():
+            moved = length - tokens
+            gain = np.where((moved > 0) & (moved <= room), moved * (lead + moved), 0)
+            k = int(np.argmax(gain)) if len(gain) else 0
+            if len(gain) and gain[k] > best:
+                best, chosen = int(gain[k]), (item, int(at[k]), [int(x) for x in (one[k], two[k]) if x >= 0])
+        if chosen is None:
+            return False
+        item, to, back = chosen
+        for i, b, other in [(item, to, low), *((i, low, to) for i in back)]:
+            self.items[other].remove(i)
+            self.items[b].append(i)
+            self.bins[i] = b
+            self.fill[b] += self.lengths[i]
+            self.fill[other] -= self.lengths[i]
+        for b in (low, to):
+            self.version[b] += 1
+            if self.open[b] and self.fill[b] < self.capacity:
+                self.added += self._pairs_of(b)
+            self.open[b] = self.fill[b] < self.capacity
+        self.touched |= {low, to}
+        return True
+
+
+def pack(lengths: np.ndarray, capacity: int) -> np.ndarray:
     """Bins by best fit, then local search: the emptiest bins give documents to fuller ones while squared fill grows.
 
-    Bins are emptied one after another, ``tries`` failures and ``swaps`` exchanges at most, or until
-    their number is the total over the capacity, rounded up.
+    Each bin in turn, the emptiest first, makes exchanges as a giver until it is empty or none
+    increases squared fill; the search ends when no bin has such an exchange, or when the bins are as
+    few as the total over the capacity, rounded up. Squared fill grows with each exchange, so it ends.
     """
     bins = best_fit(lengths, capacity)
     if not len(bins):
         return bins
-    fill = np.bincount(bins, weights=lengths).astype(np.int64)
+    search = _Search(lengths, bins, capacity)
     least = -(-int(lengths.sum()) // capacity)
-    failed: set[int] = set()
-    while swaps and len(failed) < tries and np.count_nonzero(fill) > least:
-        open_bins = np.flatnonzero((fill > 0) & (fill < capacity))
-        open_bins = open_bins[~np.isin(open_bins, list(failed))] if failed else open_bins
-        if len(open_bins) < 2:
+    tried = np.zeros(len(search.fill), bool)
+    while np.count_nonzero(search.fill) > least:
+        givers = np.flatnonzero((search.fill > 0) & search.open & ~tried)
+        if not len(givers):
             break
-        low = int(open_bins[np.argmin(fill[open_bins])])
-        while fill[low] and swaps:
-            swaps -= 1
-            if not _improve(lengths, bins, fill, low, capacity, near):
-                failed.add(low)
-                break
-    return np.unique(bins, return_inverse=True)[1]
+        low = int(givers[np.argmin(search.fill[givers])])
+        while search.fill[low] and search.exchange(low):
+            pass
+        tried[low] = True
+        for b in search.touched:  # who may give to a bin that has changed is asked again
+            tried[search.givers_to(b)] = False
+        search.touched.clear()
+    return np.unique(search.bins, return_inverse=True)[1]
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,7 +176,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, id_
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tokens.trimmed(cut, vocabulary), schema)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, shard_rows: int = 40_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, shard_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packs whole texts into sequences of at most ``capacity`` tokens.
 
     Texts are encoded once, where they are read; only lengths go on. Pieces are dealt by hash to

@@ -85,14 +85,48 @@ def test_packing_small_table(spark):
     assert used <= least + 1
 
 
-def test_local_search_beats_best_fit():
-    rng = np.random.default_rng(5)
-    gained = 0
-    for _ in range(20):
-        lengths = rng.integers(300, 900, 60)
-        plain = len(set(packing.best_fit(lengths, 2048).tolist()))
-        bins = packing.pack(lengths, 2048)
-        assert np.bincount(bins, weights=lengths).max() <= 2048
-        gained += plain - len(set(bins.tolist()))
-        assert plain >= len(set(bins.tolist()))
-    assert gained >= 0
+def fewest(lengths, capacity):
+    """The optimum, by trying every bin for every item."""
+    best = len(lengths)
+
+    def place(i, spaces):
+        nonlocal best
+        if len(spaces) >= best:
+            return
+        if i == len(lengths):
+            best = len(spaces)
+            return
+        for space in set(spaces):
+            if space >= lengths[i]:
+                rest = list(spaces)
+                rest.remove(space)
+                place(i + 1, [*rest, space - lengths[i]])
+        place(i + 1, [*spaces, capacity - lengths[i]])
+
+    place(0, [])
+    return best
+
+
+@pytest.mark.parametrize("low, high, n", [(300, 1200, 2000), (500, 900, 1500), (300, 1000, 1500)])
+def test_local_search_beats_best_fit(low, high, n):
+    lengths = np.random.default_rng(5).integers(low, high, n)
+    plain, bins = packing.best_fit(lengths, 2048), packing.pack(lengths, 2048)
+    assert np.bincount(bins, weights=lengths).max() <= 2048 and len(bins) == n
+    assert bins.max() + 1 < plain.max() + 1
+
+
+def test_local_search_finds_the_fewest():
+    rng = np.random.default_rng(7)
+    found, gained = [], 0
+    for _ in range(60):
+        lengths = np.sort(rng.integers(15, 60, 11))[::-1]
+        used = int(packing.pack(lengths, 100).max()) + 1
+        gained += int(packing.best_fit(lengths, 100).max()) + 1 - used
+        found.append((used, fewest(lengths.tolist(), 100)))
+    assert all(a >= b for a, b in found) and sum(a == b for a, b in found) >= 59 and gained >= 1
+
+
+def test_pairs_of_many_short_items():
+    lengths = np.array([60, 55] + [1] * 10 + [2] * 10 + [3] * 10 + [5] * 5)
+    bins = packing.pack(lengths, 100)
+    assert np.bincount(bins, weights=lengths).max() <= 100 and bins.max() + 1 == 2
