@@ -42,28 +42,26 @@ class _Shard:
         parts = [drawn[i : i + block] for i in range(0, len(drawn), block)]
         asked = np.concatenate([p[self._true(units, p, own).any(axis=1)] for p in parts])[:audit]
         true = self._true(units, asked, own)
-        while self._searches(self.width):
+        while self.width < len(self.ids):
             row, node = self._beam(units[asked], self.width)
             if true[row, node].sum() >= recall * true.sum():
                 break
             self.width *= 2
 
-    def _searches(self, width: int) -> bool:
-        """Whether a beam of this width is cheaper than looking at the whole shard."""
-        return 4 * width < len(self.ids)
-
     def _beam(self, units: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs that may be links. A beam full of links is widened for its query until it isn't; at a quarter of the shard all of it is compared."""
-        found, rows = [], np.arange(len(units))
-        while len(rows) and self._searches(width):
+        """(query, node) pairs that may be links, from the graph. For a query whose beam is full of links there may be more: it asks again with a wider one, and is compared with the whole shard where that would hold a quarter of it."""
+        found, rows, n = [], np.arange(len(units)), len(self.ids)
+        width = min(width, n)
+        while len(rows):
             nodes, sims = self.graph.search(units[rows], width)
-            full = sims[:, -1] >= self.least - 1e-4
+            full = (sims[:, -1] >= self.least - 1e-4) & (width < n)
             r, c = np.nonzero((sims >= self.least - 1e-4) & ~full[:, None])
             found.append((rows[r], nodes[r, c]))
             rows, width = rows[full], width * 4
-        if len(rows):
-            r, node = np.nonzero(units[rows] @ self.units.T >= self.least - 1e-4)
-            found.append((rows[r], node))
+            if len(rows) and 4 * width >= n:
+                r, node = np.nonzero(units[rows] @ self.units.T >= self.least - 1e-4)
+                found.append((rows[r], node))
+                break
         return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
 
     def links(self, ids: np.ndarray, vectors: np.ndarray, recall: float, audit: int, block: int, own: bool) -> np.ndarray:

@@ -195,6 +195,25 @@ def test_a_link_found_from_one_end_counts_for_both(spark):
         assert all(r.n_links == size[r.component_id] - 1 for r in out)
 
 
+def test_links_come_from_the_graph():
+    """Groups of up to 12 among 2,000 vectors of a label: beams find 99 % of the links of brute force, and no search gives up the graph."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((2000, 48))
+    group = rng.integers(0, 400, 2000)
+    x = rng.standard_normal((400, 48))[group] + 0.07 * x
+    shard = embedding_dups._Shard(np.arange(2000), np.ones(2000, np.int64), x, 0.98)
+    rows = []
+    search = shard.graph.search
+    shard.graph.search = lambda q, width: rows.append(len(q)) or search(q, width)
+    found = shard.links(np.arange(2000), x, 0.99, 64, 512, True)
+    found |= found.T
+    units = x / np.linalg.norm(x, axis=1)[:, None]
+    true = units @ units.T >= 0.98
+    np.fill_diagonal(true, False)
+    assert true.sum() > 4000 and not (found & ~true).any() and found.sum() >= 0.99 * true.sum()
+    assert 4 * shard.width < 2000 and sum(rows) >= 2000
+
+
 def test_audit_leaves_out_the_match_with_itself():
     """A graph that finds nothing but the query itself is searched more widely."""
     x = np.random.default_rng(8).standard_normal((600, 16))
