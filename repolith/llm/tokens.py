@@ -32,6 +32,9 @@ def _odd_spaces(own: np.ndarray) -> np.ndarray:
     code = (padded[lead] << 16) + (padded[lead + 1] << 8) + np.where(own[lead] == 0xC2, 0, padded[lead + 2]) if len(lead) else lead
     return np.concatenate([np.flatnonzero(_OTHER[own]), lead[np.isin(code, _WIDE)]])
 
+#: A character that texts hardly hold.
+MARK = "\u2042"
+
 
 def vocabulary(name: str) -> str:
     import public_tokenizers
@@ -90,6 +93,7 @@ class SegmentEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
         self.sizes = self._token_sizes(json.loads(self.tokenizer.to_str()))
+        self.mark = self._mark_ids() if self.sizes is None else None
         self._clear()
 
     def _token_sizes(self, rules: dict) -> np.ndarray | None:
@@ -110,6 +114,29 @@ class SegmentEncoder:
         self.lengths = np.empty(1 << 16, np.int32)
         self.used = self.known = 0
 
+    def _mark_ids(self) -> np.ndarray | None:
+        """The ids of MARK, where white space gives no ids and ends what stands before it; else None."""
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        mark = ids(MARK)
+        drops = all(ids(f"{a}{space}{b}") == ids(a) + ids(b) for a in ("word", "Two", "7", "-") for b in ("word", MARK) for space in (" ", "  ", "\n ", " \n"))
+        return np.array(mark, np.uint32) if drops and mark else None
+
+    def _marked_ids(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same as _ids by a few calls: each segment stands with MARK after it, whose ids cut them apart."""
+        mark = MARK.encode()
+        texts = [b" ".join(chain.from_iterable((x, mark) for x in segments[low : low + 256])).decode() for low in range(0, len(segments), 256)]
+        lists = [x.ids for low in range(0, len(texts), 64) for x in self.tokenizer.encode_batch_fast(texts[low : low + 64], add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(lists), np.uint32, sum(map(len, lists)))
+        n = len(self.mark)
+        here = np.ones(max(0, len(flat) - n + 1), bool)
+        for k, i in enumerate(self.mark):
+            here &= flat[k : k + len(here)] == i
+        at = np.flatnonzero(here)
+        if len(at) != len(segments):  # one holds the mark itself
+            return self._ids(segments)
+        lengths = np.diff(at, prepend=-n) - n
+        return np.delete(flat, (at[:, None] + np.arange(n)).ravel()), lengths
+
     def _ids(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all segments in turn, how many each has)."""
         lists = [x.ids for low in range(0, len(segments), 4096) for x in self.tokenizer.encode_batch_fast([x.decode() for x in segments[low : low + 4096]], add_special_tokens=False)]
@@ -130,7 +157,7 @@ class SegmentEncoder:
 
     def _learn(self, h: np.ndarray, segments: list[bytes]) -> None:
         if self.sizes is None:
-            flat, lengths = self._ids(segments)
+            flat, lengths = self._ids(segments) if self.mark is None else self._marked_ids(segments)
         else:
             # a segment that begins with its blanks and ends with a word may follow any other such
             joins = np.array([len(x) > 1 and _BLANK[x[0]] and not _BLANK[x[-1]] for x in segments], bool)
