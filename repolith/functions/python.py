@@ -10,6 +10,7 @@ from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,10 +68,17 @@ def probe(data: bytes | None) -> tuple[str | None, str | None]:
 
 
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType())]))
-def decoded(content: pd.Series) -> pd.DataFrame:
+def _probed(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([probe(x) for x in content], columns=["text", "encoding"])
 
 
+def decoded(content: Column | str) -> Column:
+    """(text, encoding) of bytes. Python sees only what isn't UTF-8."""
+    data = F.col(content) if isinstance(content, str) else content
+    text = F.try_validate_utf8(data.cast("string"))
+    return F.when(text.isNotNull(), F.struct(text.alias("text"), F.lit("utf-8").alias("encoding"))).otherwise(_probed(F.when(text.isNull(), data)))
+
+
 class _Text(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)

@@ -257,6 +257,8 @@ def markdown_rendering(spark, d):
     return rows.select(F.col("name").alias("filename"), sinks.function_markdown().alias("block"))
 
 
-@query("SELECT r_regionkey, '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS json FROM region")
+@query("""SELECT s_suppkey, '{"name":"' || s_name || '"' || CASE WHEN s_nationkey % 3 > 0 THEN ',"parent":' || s_nationkey ELSE '' END || '}' AS json FROM supplier""")
 def json_rows(spark, d):
-    return table(spark, d, "region").select("r_regionkey", F.to_json(F.struct("r_regionkey", "r_name")).alias("json"))
+    """Rows as JSON lines; a null field is left out."""
+    parent = F.expr("CASE WHEN s_nationkey % 3 > 0 THEN s_nationkey END").alias("parent")
+    return table(spark, d, "supplier").select("s_suppkey", F.to_json(F.struct(F.col("s_name").alias("name"), parent)).alias("json"))

@@ -206,11 +206,12 @@ def repository_summary(spark, d):
     return functions(spark, d).groupBy("filename").agg(F.count(F.lit(1)).alias("functions"), F.count_if("visible").alias("visible"))
 
 
-@query("WITH s AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user') SELECT conv_id, turn, text FROM s ANTI JOIN (SELECT conv_id, turn + 0 AS turn FROM conversations WHERE role = 'assistant') USING (conv_id, turn)")
+@query("WITH s AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user') SELECT conv_id, turn, text FROM s ANTI JOIN (SELECT conv_id, turn - 1 AS turn FROM conversations WHERE role = 'assistant' AND length(text) % 2 = 0) USING (conv_id, turn)")
 def resume_missing(spark, d):
-    """Rows that have no document yet: only these are asked on a run again."""
+    """Rows that have no document yet: only these are asked on a run again. Answers of even length count as documents."""
     c = table(spark, d, "conversations")
-    return c.where("role = 'user'").select("conv_id", "turn", "text").join(c.where("role = 'assistant'").select("conv_id", "turn"), ["conv_id", "turn"], "left_anti")
+    done = c.where("role = 'assistant' AND length(text) % 2 = 0").select("conv_id", (F.col("turn") - 1).alias("turn"))
+    return c.where("role = 'user'").select("conv_id", "turn", "text").join(done, ["conv_id", "turn"], "left_anti")
 
 
 def ranked_first(rows: DataFrame, by: str, order: str) -> DataFrame:

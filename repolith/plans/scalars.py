@@ -96,9 +96,12 @@ def code_text(spark, d):
     return table(spark, d, "part").select("p_partkey", line.alias("line"), s.constant_value(line).alias("value"), s.quoted(F.concat(F.lit('name = "'), "p_brand", F.lit('"'))).alias("quoted"), s.call_type(name).alias("call"))
 
 
-@query(f"""WITH {FUNCTIONS} SELECT signature, code AS body FROM (SELECT signature, 'call_a(x);' || chr(10) || '  b!(y);' AS code FROM fn)""")
+@query(f"""WITH {FUNCTIONS}, l AS (SELECT signature, list_filter(list_transform(string_split('    // note' || chr(10) || '    ' || regexp_replace(code, '[.] +', '; // why' || chr(10) || '      ', 'g'), chr(10)),
+  lambda x: rtrim(regexp_replace(x, '//.*$', ''))), lambda x: trim(x) <> '') AS lines FROM fn)
+SELECT signature, COALESCE(array_to_string(list_transform(lines, lambda x: substr(x, CAST(list_min(list_transform(lines, lambda y: length(y) - length(ltrim(y)))) + 1 AS INTEGER))), chr(10)), '') AS body FROM l""")
 def dedented_code(spark, d):
-    code = F.lit("    // note\n    call_a(x); // why\n\n      b!(y);\n")
+    """Texts as code: a sentence a line, indented, with comments."""
+    code = F.concat(F.lit("    // note\n    "), F.regexp_replace("code", "[.] +", "; // why\n      "))
     return functions(spark, d).select("signature", s.dedented(code).alias("body"))
 
 
@@ -137,7 +140,9 @@ def header_renames(spark, d):
     return markdown(spark, d).select("conv_id", rename("text").alias("text"))
 
 
-@query("SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN doc_id % 2 = 0 THEN text ELSE text END AS text, CASE WHEN text IS NULL THEN NULL ELSE 'utf-8' END AS encoding FROM documents")
+@query("SELECT doc_id, text, CASE WHEN text IS NULL THEN NULL WHEN doc_id % 3 = 1 AND text <> '' THEN 'utf-16' ELSE 'utf-8' END AS encoding FROM documents")
 def encodings(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", py.decoded(F.col("text").cast("binary")).alias("r"))
+    """Texts from bytes; every third is UTF-16 with a byte order mark."""
+    data = F.when(F.col("doc_id") % 3 == 1, F.encode("text", "UTF-16")).otherwise(F.col("text").cast("binary"))
+    rows = table(spark, d, "documents").select("doc_id", py.decoded(data).alias("r"))
     return rows.select("doc_id", "r.text", "r.encoding")

@@ -105,3 +105,27 @@ def test_markdown_and_sinks(spark, tmp_path):
 def test_last_by_name(spark):
     rows = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new")], "name string, ord int, doc string")
     assert [r.doc for r in files.last_by_name(rows, "name", "ord").collect()] == ["new"]
+
+
+def test_source_files_below_a_folder_of_a_skipped_name(spark, tmp_path):
+    root = tmp_path / "tests" / "repo"
+    for path in ("src/a.ts", "tests/b.ts", "node_modules/c.ts", "d.ts"):
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text("function go(x) {}\nclass A { run() {} }")
+    rows = files.source_files(spark, str(root), (".ts",))
+    assert sorted(r.path.split("/repo/")[1] for r in rows.collect()) == ["d.ts", "src/a.ts"]
+    assert sorted(r.name for r in files.ts_names(rows).collect()) == ["go", "run"]
+
+
+def test_filters_of_records(spark):
+    rows = spark.createDataFrame([("f", "a.c", ""), ("g", "<empty>", ""), ("h", "<empty>", "x"), (None, "a.c", "y"), ("i", "gone.c", "z")], "signature string, filename string, code string")
+    assert sorted(r.signature for r in files.named_rows(rows).collect()) == ["f", "h", "i"]
+    assert sorted(r.signature or "" for r in files.present(rows, spark.createDataFrame([("a.c",)], "path string")).collect()) == ["", "f"]
+    assert files.complete(rows, ("signature", "code")).count() == 4
+
+
+def test_markdown_folder(spark, tmp_path):
+    (tmp_path / "one.md").write_text("### x\ntext")
+    (tmp_path / "two.md").write_text("")
+    (tmp_path / "three.txt").write_text("no")
+    assert {r.repo: r.text for r in files.markdown_folder(spark, str(tmp_path)).collect()}["one"] == "### x\ntext"
