@@ -21,9 +21,14 @@ class _Layer:
         self.nodes: list[int] = []
 
     def search(self, queries: np.ndarray, entries: np.ndarray, width: int, at_once: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """The ``width`` best nodes found from ``entries`` (a row per query), best first, -1 where there are fewer."""
-        n = len(queries)
+        """The ``width`` best nodes found from ``entries`` (a row per query), best first, -1 where there are fewer.
+
+        ``at_once`` nodes of a beam are opened together, or an eighth of a wide one, so that the time is in proportion to the width.
+        """
+        n, at_once = len(queries), max(at_once, width // 8)
         rows = np.arange(n)[:, None]
+        entries = np.sort(entries, axis=1)
+        entries[:, 1:][entries[:, 1:] == entries[:, :-1]] = -1
         seen = np.zeros((n, len(self.x) + 1), bool)  # the last column stands for -1
         seen[:, -1] = True
         seen[rows, entries] = True
@@ -53,7 +58,12 @@ class _Layer:
             found[:, 1:][found[:, 1:] == found[:, :-1]] = -1
             found[seen[live[:, None], found]] = -1
             seen[live[:, None], found] = True
-            got = np.einsum("qd,qmd->qm", queries[live], self.x[found])
+            most = max(1, int((found >= 0).sum(axis=1).max()))
+            found = np.sort(found, axis=1)[:, -most:]
+            got = np.empty(found.shape, np.float32)
+            step = max(1, (1 << 22) // (most * self.x.shape[1]))
+            for low in range(0, len(live), step):
+                got[low : low + step] = np.einsum("qd,qmd->qm", queries[live[low : low + step]], self.x[found[low : low + step]])
             got[found < 0] = -np.inf
             all_ids, all_sims = np.hstack([ids[live], found]), np.hstack([sims[live], got])
             all_done = np.hstack([done[live], found < 0])
@@ -106,6 +116,52 @@ class _Layer:
             both[:, 1:][both[:, 1:] == both[:, :-1]] = -1
             self.near[own] = self._choose(own, both)
 
+    def connect(self) -> None:
+        """Adds links until every node is reached from every other: choosing neighbours can leave groups of near copies that nothing outside links to, or that link to nothing outside."""
+        n = len(self.x)
+        if not n:
+            return
+        to = self.near.ravel()
+        of, to = np.repeat(np.arange(n), self.near.shape[1])[to >= 0], to[to >= 0].astype(np.int64)
+        more: list[tuple[int, int]] = []
+        for back in (False, True):
+            a, b = (to, of) if back else (of, to)
+            if more:
+                extra = np.array(more)
+                a, b = np.concatenate([a, extra[:, int(back)]]), np.concatenate([b, extra[:, 1 - int(back)]])
+            order = np.argsort(a, kind="stable")
+            ends, cuts = b[order], np.searchsorted(a[order], np.arange(n + 1))
+            seen = np.zeros(n, bool)
+            nearest, sims = np.zeros(n, np.int64), np.full(n, -np.inf, np.float32)
+            at = 0
+            while True:
+                new, front = [np.array([at])], np.array([at])
+                seen[at] = True
+                while len(front):
+                    each = cuts[front + 1] - cuts[front]
+                    front = np.unique(ends[np.arange(int(each.sum())) + np.repeat(cuts[front] - np.cumsum(each) + each, each)])
+                    front = front[~seen[front]]
+                    seen[front] = True
+                    new.append(front)
+                out, new = np.flatnonzero(~seen), np.concatenate(new)
+                if not len(out):
+                    break
+                for low in range(0, len(out), 512):
+                    rows = out[low : low + 512]
+                    got = self.x[rows] @ self.x[new].T
+                    best = got.argmax(axis=1)
+                    top = got[np.arange(len(rows)), best]
+                    nearer = top > sims[rows]
+                    nearest[rows[nearer]], sims[rows[nearer]] = new[best[nearer]], top[nearer]
+                at = int(out[np.argmax(sims[out])])
+                more.append((at, int(nearest[at])) if back else (int(nearest[at]), at))
+        if more:
+            extra = np.array(sorted(more))
+            _, first, each = np.unique(extra[:, 0], return_index=True, return_counts=True)
+            added = np.full((n, int(each.max())), -1, np.int32)
+            added[extra[:, 0], np.arange(len(extra)) - np.repeat(first, each)] = extra[:, 1]
+            self.near = np.hstack([self.near, added])
+
 
 class HNSW:
     def __init__(self, vectors: np.ndarray, links: int = 16, width: int = 64, batch: int = 256, seed: int = 11) -> None:
@@ -131,6 +187,7 @@ class HNSW:
                 if own.any():
                     layer.insert(new[own], found[own])
             at, size = at + len(new), min(batch, max(1, at + len(new)))
+        self.layers[0].connect()
 
     def search(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         queries = np.ascontiguousarray(queries, np.float32)

@@ -235,6 +235,20 @@ def test_hnsw_recall():
     assert np.mean([len(set(a) & set(b.tolist())) / 10 for a, b in zip(true, found)]) >= 0.9
 
 
+def test_hnsw_reaches_every_node():
+    """Groups of near copies link to their own; none of them, nor a member, is cut off from the rest."""
+    from repolith.llm.hnsw import HNSW
+
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.standard_normal((100, 32)), np.repeat(rng.standard_normal((4, 32)), 200, axis=0) + rng.standard_normal((800, 32)) * 2e-4])
+    x = rng.permutation(x / np.linalg.norm(x, axis=1)[:, None])
+    ids, sims = HNSW(x).search(x[::20], len(x))
+    assert all(len(set(row[row >= 0].tolist())) == len(x) for row in ids)
+    assert np.allclose(sims, -np.sort(-(x[::20] @ x.T), axis=1), atol=1e-5)
+    shard = embedding_dups._Shard(np.arange(900), np.ones(900, np.int64), x, 0.98)
+    assert (shard.links(np.arange(900), x, 0.99, 64, 512, True) == ((x @ x.T >= 0.98) & ~np.eye(900, dtype=bool))).all()
+
+
 @pytest.mark.parametrize("scale", [1.0, 1e5])
 def test_topk(vectors, scale):
     ok = [(i, [math.floor(1024 * (x * scale)) for x in v]) for i, v, _ in VECTORS if v is not None and v and all(x is not None and math.isfinite(x) for x in v)]
