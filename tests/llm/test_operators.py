@@ -125,6 +125,29 @@ def test_posterior_thresholds():
     assert jaccard.least_matches(125, 0.8, 1e-5) > jaccard.least_matches(125, 0.5, 1e-5)
 
 
+def test_components_end_when_edges_are_stars(spark, monkeypatch):
+    """Stars are written once; others in rounds of a few files, however many partitions there are."""
+    from repolith.llm import common
+
+    files = []
+
+    def saved(df, label):
+        out = common.saved(df, label)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(components, "saved", saved)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        star = spark.createDataFrame([(0, i) for i in range(1, 30)], "x long, y long").coalesce(1)
+        assert {r.component for r in components.connected_components(star).collect()} == {0} and len(files) == 1
+        path = spark.createDataFrame([(i, i + 1) for i in range(200)], "x long, y long").repartition(8)
+        assert {(r.node, r.component) for r in components.connected_components(path).collect()} == {(i, 0) for i in range(201)} and max(files) <= 12
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7), (200, 300), (300, 250)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "x long, y long")).collect()}
