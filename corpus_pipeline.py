@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from repolith.llm import common
 from repolith.llm.jaccard import jaccard_join
-from repolith.llm.mixing import WORD, mix_sources
+from repolith.llm.mixing import WORD, measured, mix_sources
 from repolith.llm.packing import pack_documents
 from repolith.llm.substrings import substring_dedup
 from repolith.llm.tokens import vocabulary
@@ -43,9 +43,9 @@ def _parted(docs: DataFrame) -> DataFrame:
     return docs.select(*NAMED, F.struct(*rest).alias("rest") if rest else F.lit(None).cast("int").alias("rest"))
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """_parted rows, written with a number for each, so that rows that share an id, or have none, are told apart."""
-    return common.saved(_parted(docs).withColumn("row", F.monotonically_increasing_id()), "numbered")
+def _numbered(docs: DataFrame, more: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """_parted rows, written with a number for each, so that rows that share an id, or have none, are told apart, and what ``more`` adds."""
+    return common.saved(more(_parted(docs).withColumn("row", F.monotonically_increasing_id())), "numbered")
 
 
 def _as_documents(rows: DataFrame, docs: DataFrame, named: tuple[str, ...] = (*NAMED, "n_chars")) -> DataFrame:
@@ -89,11 +89,11 @@ def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The plan is by row: texts that share an id, or have none, are taken each by its own size. Null
     and empty texts have nothing to take and go; a null source is a source; an empty table gives no rows.
     """
-    rows = _numbered(docs)
-    plan = mix_sources(rows, row_col="row").select("row", "size", F.explode(F.filter(F.array("taken_first", "taken_again"), lambda n: n > 0)).alias("taken"))
+    rows = _numbered(docs, measured)
+    plan = mix_sources(rows, row_col="row", is_measured=True).select("row", "size", F.explode(F.filter(F.array("taken_first", "taken_again"), lambda n: n > 0)).alias("taken"))
     words = F.regexp_extract_all("text", F.lit(WORD), 0)
     part = F.array_join(F.slice(words, F.lit(1), F.col("taken").cast("int")), " ")
-    return _as_documents(rows.join(plan, "row").withColumn("text", F.when(F.col("taken") >= F.col("size"), F.col("text")).otherwise(part)), docs)
+    return _as_documents(rows.drop("size").join(plan, "row").withColumn("text", F.when(F.col("taken") >= F.col("size"), F.col("text")).otherwise(part)), docs)
 
 
 def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,6 +73,12 @@ def _slots(spark: SparkSession, sources: DataFrame, n: int, total: int) -> DataF
     return dealt.join(before, ["sid", "chunk"]).select("sid", (F.col("before") + F.col("nth") - 1).alias("rank"))
 
 
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with what a mix needs of each row: ``size``, the words of its text, and ``digest``, which shuffles the rows."""
+    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.withColumns({"size": size, "digest": F.md5(F.concat_ws("#", F.lit("mix"), F.col(id_col).cast("string")))})
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -84,6 +90,7 @@ def mix_sources(
     slots: int = 1 << 20,
     block_words: tuple[int, int] = (16, 4096),
     row_col: str | None = None,
+    is_measured: bool = False,
 ) -> DataFrame:
     """How many words a mix by target weights takes of each document.
 
@@ -98,17 +105,13 @@ def mix_sources(
     longs that tells rows with equal ids apart. Null text and text without words have size 0 and take 0;
     a null source is one source, the last; repeated rows count each; an empty table gives no rows;
     other columns are ignored. Documents of one source with equal ids follow each other by size.
+    ``is_measured``: ``docs`` is a stored table with the columns of measured(), so that sizes need no table of their own.
     """
     spark = docs.sparkSession
     row = F.col(row_col).cast("long") if row_col else F.lit(None).cast("long")
-    digest = F.md5(F.concat_ws("#", F.lit("mix"), F.col(id_col).cast("string")))
-    sizes = saved(
-        docs.select(
-            F.col(id_col).alias("id"), row.alias("row"), F.col(source_col).cast("string").alias("source"),
-            F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), digest.alias("digest"),
-        ),
-        "mix-sizes",
-    )
+    sizes = docs if is_measured else measured(docs, id_col, text_col)
+    sizes = sizes.select(F.col(id_col).alias("id"), row.alias("row"), F.col(source_col).cast("string").alias("source"), "size", "digest")
+    sizes = sizes if is_measured else saved(sizes, "mix-sizes")
     sources = saved(source_targets(sizes, weights, share, limit), "mix-sources")
     total = sources.agg(F.sum(F.round("target").cast("long"))).first()[0] or 0
     block = max(block_words[0], min(block_words[1], total // slots + 1))

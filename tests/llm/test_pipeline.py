@@ -4,6 +4,7 @@ import pytest
 
 import corpus_pipeline as pipeline
 
+from repolith.llm import common, mixing
 from tests.conftest import SMALL
 from tests.llm.test_operators import brute_cut, brute_links
 
@@ -116,6 +117,14 @@ def test_rows_of_one_id_are_mixed_each_by_its_size(spark):
     assert all(long.startswith(x) or short.startswith(x) or x == "eight" for x in out) and sum(long.startswith(x) for x in out) <= 2 and sum(short.startswith(x) for x in out) <= 2
 
 
+def test_mixing_measures_texts_in_the_table_it_numbers(spark):
+    docs, before = spark.read.parquet(f"{SMALL}/documents.parquet"), set(common.written)
+    pipeline._mixing(spark, docs, SMALL)
+    assert sorted(x.rsplit("/", 1)[1].rsplit("-", 1)[0] for x in common.written if x not in before) == ["mix-sources", "numbered"]
+    stored = common.saved(mixing.measured(docs), "measured")
+    assert sorted(mixing.mix_sources(stored, is_measured=True).collect()) == sorted(mixing.mix_sources(docs).collect())
+
+
 def test_a_text_of_twelve_megabytes(spark, tmp_path):
     long = " ".join(f"w{i}" for i in range(1_500_000))
     docs = spark.createDataFrame([(1, long, "en", "a", len(long)), (2, "a short one", "en", "a", 11)], "doc_id long, text string, lang string, source string, n_chars long")
