@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repolith.llm import components, embedding_dups, jaccard, licenses, mixing, pitman_yor, substrings, topk, toxicity
+from repolith.session import ship
 
 RNG = np.random.default_rng(3)
 VOCABULARY = [f"w{i}" for i in range(400)]
@@ -313,6 +315,29 @@ def test_a_rare_context_keeps_its_restaurant(spark):
     assert row.score > -4 > row.base_score + 8
 
 
+def test_language_model_frees_its_shuffles(spark, docs):
+    """Each table in between takes its shuffle files along when it has been written, without a garbage collection."""
+    ship(spark)
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {x for x in manager.getAllBlocks().mkString(" ").split() if x.startswith("shuffle_")}
+    docs.count()
+    before = held()
+    scores = pitman_yor.score_texts(docs)
+    ends = time.time() + 10
+    while held() - before and time.time() < ends:
+        time.sleep(0.2)
+    assert not held() - before
+    assert scores.count() == len(ROWS)
+
+
+def test_a_session_that_keeps_its_shuffles_is_left_alone(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    own = spark.newSession()
+    own.conf.set(name, "false")
+    assert ship(own).conf.get(name) == "false"
+    assert ship(spark.newSession()).conf.get(name) == "true"
+
+
 def test_seating():
     rng = np.random.default_rng(0)
     counts = np.array([0, 1, 2, 50, 5000, 5000])
