@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -48,6 +49,15 @@ def test_token_files(spark, docs, tmp_path):
     assert got == want
 
 
+def test_a_shard_is_a_row_group(spark, tmp_path):
+    many = spark.range(0, 400, 1, 1).selectExpr("id AS doc_id", "repeat('word and word ', 20) AS text")
+    token_files.write_token_ids(many, str(tmp_path / "ids"), tokens.vocabulary("byte_bpe_50k.json"), shard_ids=1000)
+    files = [pq.ParquetFile(x).metadata for x in (tmp_path / "ids").glob("*.parquet")]
+    groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert len(groups) > 4 * len(files) and set(groups) == {1}
+    assert token_files.read_token_ids(spark, str(tmp_path / "ids")).count() == 400
+
+
 def test_empty_table(spark, docs, tmp_path):
     token_files.write_token_ids(docs.where("false"), str(tmp_path / "ids"), tokens.vocabulary("byte_bpe_50k.json"))
     assert token_files.read_token_ids(spark, str(tmp_path / "ids")).count() == 0
