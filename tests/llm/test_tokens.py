@@ -55,6 +55,8 @@ def test_a_shard_is_a_row_group(spark, tmp_path):
     files = [pq.ParquetFile(x).metadata for x in (tmp_path / "ids").glob("*.parquet")]
     groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
     assert len(groups) > 4 * len(files) and set(groups) == {1}
+    columns = [m.row_group(0).column(j) for m in files for j in range(m.num_columns)]
+    assert {c.compression for c in columns} == {"UNCOMPRESSED"} and not any("DICTIONARY" in x for c in columns for x in c.encodings)
     assert token_files.read_token_ids(spark, str(tmp_path / "ids")).count() == 400
 
 
