@@ -194,8 +194,10 @@ def calls_in(text: Column | str) -> Column:
 def dedented(text: Column | str) -> Column:
     """Code without // comments, blank lines and common indent."""
     lines = F.filter(F.transform(F.split(_c(text), "\n"), lambda x: F.rtrim(F.regexp_replace(x, r"//.*$", ""))), lambda x: F.trim(x) != "")
-    indent = F.array_min(F.transform(lines, lambda x: F.length(x) - F.length(F.ltrim(x))))
-    return F.array_join(F.transform(lines, lambda x: F.substring(x, indent + 1, F.length(x))), "\n")
+    indent = lambda rows: F.array_min(F.transform(rows, lambda x: F.length(x) - F.length(F.ltrim(x))))
+    # arrays of one, as a lambda's argument is computed once, where a column is computed anew for every line
+    cut = lambda rows: F.transform(F.array(indent(rows)), lambda n: F.array_join(F.transform(rows, lambda x: F.substring(x, n + 1, F.length(x))), "\n"))[0]
+    return F.transform(F.array(lines), cut)[0]
 
 
 def digest8(x: Column | str) -> Column:
