@@ -120,3 +120,19 @@ def test_dedent_takes_time_in_proportion_to_lines(spark):
     out = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(scalar.dedented("t").alias("t")).collect()
     assert [r.t for r in out] == ["\n".join(f"line {i}" for i in range(3000)), None, ""]
     assert time.time() - began < 15  # 9 million lines if each finds the indent again
+
+
+def test_many_queries_get_the_same_neighbours(spark):
+    from repolith.operators import vector
+
+    rng = random.Random(5)
+    point = lambda: [float(rng.randrange(3)) / 3 for _ in range(4)]
+    queries = spark.createDataFrame([(f"q{i}", point()) for i in range(300)], "query_id string, q array<double>")
+    base = spark.createDataFrame([(f"b{i}", point()) for i in range(50)], "id string, v array<double>")
+    want = sorted(vector.nearest(queries, base, 3).collect())
+    assert sorted(vector.nearest(queries, base, 3, most_queries=299).collect()) == want  # one block of the base
+    assert sorted(vector.nearest(queries, base, 3, most_queries=20).collect()) == want
+    few = vector.nearest(queries, base, 60, most_queries=299)
+    assert sorted(few.collect()) == sorted(vector.nearest(queries, base, 60).collect())
+    plan = vector.nearest(queries, base, 3, most_queries=299)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan  # no pairs are shuffled, however many queries there are
