@@ -136,3 +136,12 @@ def test_many_queries_get_the_same_neighbours(spark):
     assert sorted(few.collect()) == sorted(vector.nearest(queries, base, 60).collect())
     plan = vector.nearest(queries, base, 3, most_queries=299)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Window" not in plan  # no pairs are shuffled, however many queries there are
+
+
+def test_nearest_documents_ranks_rounded_distances(spark, tmp_path):
+    """As the SQL does: distances that are equal when rounded go by id."""
+    rows = pd.DataFrame({"vec_id": [1, 2, 3, 4], "embedding": [[0.001], [0.0], [-0.001], [0.0]], "label": 0})
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert normal(QUERIES["nearest_documents"](spark, str(tmp_path)).toPandas()) == normal(con.sql(ORACLES["nearest_documents"]).df())
