@@ -145,3 +145,12 @@ def test_nearest_documents_ranks_rounded_distances(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     assert normal(QUERIES["nearest_documents"](spark, str(tmp_path)).toPandas()) == normal(con.sql(ORACLES["nearest_documents"]).df())
+
+
+def test_pagerank_rounds_do_not_compute_earlier_ones_again(spark):
+    from repolith.operators import graph
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "src long, dst long")
+    out = graph.pagerank(edges, 4, tolerance=None)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.agg(F.sum("rank")).first()[0] == pytest.approx(1)
