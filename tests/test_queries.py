@@ -154,3 +154,26 @@ def test_pagerank_rounds_do_not_compute_earlier_ones_again(spark):
     out = graph.pagerank(edges, 4, tolerance=None)
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.agg(F.sum("rank")).first()[0] == pytest.approx(1)
+
+
+def test_levels_and_core_take_no_round_for_each_level(spark):
+    import time
+
+    from repolith.operators import graph
+
+    chain, began = spark.range(300).selectExpr("id AS src", "id + 1 AS dst"), time.time()
+    assert {r.node: r.level for r in graph.levels(chain).collect()} == {i: 300 - i for i in range(301)}
+    assert graph.cyclic_core(chain).isEmpty()
+    assert time.time() - began < 60  # 300 rounds of jobs and 150 of others
+
+
+def test_levels_and_core_are_the_same_by_parts(spark):
+    from repolith.operators import graph
+
+    rows = [(1, 2), (2, 3), (3, 1), (4, 1), (3, 5), (11, 12), (12, 13), (11, 13), (21, 22), (22, 22), (23, None), (None, 11), (31, None)]
+    edges = spark.createDataFrame(rows, "src long, dst long")
+    levels = {1: -1, 2: -1, 3: -1, 4: -1, 5: 0, 13: 0, 12: 1, 11: 2, 21: -1, 22: -1, 23: -1, 31: -1, None: 0}
+    for most in (100, 4, 0):  # one task, both ways, rounds only
+        found = graph.levels(edges, most).collect()
+        assert len(found) == len(levels) and {r.node: r.level for r in found} == levels
+        assert sorted(map(tuple, graph.cyclic_core(edges, most).collect())) == [(1, 2), (2, 3), (3, 1), (22, 22)]
